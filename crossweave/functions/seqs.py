@@ -4,8 +4,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once, however often ``fn`` uses it.
+
+    A column expression used inside a lambda would else be evaluated again for
+    every element of the array the lambda runs over.
+    """
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def bind2(a: Column, b: Column, fn) -> Column:
+    return bind(F.struct(a.alias("a"), b.alias("b")), lambda p: fn(p["a"], p["b"]))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Shared share of two arrays read as sets; two empty arrays agree fully."""
+    return bind2(a, b, _jaccard)
+
+
+def _jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, F.lit(1.0)).otherwise(
         F.size(F.array_intersect(a, b)) / union
@@ -18,6 +35,10 @@ def lcs_length(a: Column, b: Column) -> Column:
     One ``aggregate`` over ``a`` carries the row of best lengths over ``b``;
     the inner ``aggregate`` extends that row from left to right.
     """
+    return bind2(a, b, _lcs_length)
+
+
+def _lcs_length(a: Column, b: Column) -> Column:
     zero = F.transform(b, lambda _: F.lit(0))
     def next_row(row: Column, x: Column) -> Column:
         shifted = F.concat(
@@ -42,8 +63,10 @@ def lcs_length(a: Column, b: Column) -> Column:
 
 def seq_similarity(a: Column, b: Column) -> Column:
     """Order-sensitive similarity of two arrays: 2 * LCS / (n + m)."""
-    total = F.size(a) + F.size(b)
-    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * lcs_length(a, b) / total)
+    def share(a: Column, b: Column) -> Column:
+        total = F.size(a) + F.size(b)
+        return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * _lcs_length(a, b) / total)
+    return bind2(a, b, share)
 
 
 def soft_overlap(a: Column, b: Column) -> Column:
@@ -52,6 +75,10 @@ def soft_overlap(a: Column, b: Column) -> Column:
     The mean of both directions, never more than the better side's own mean,
     with near misses worth less than equal entries.
     """
+    return bind2(a, b, _soft_overlap)
+
+
+def _soft_overlap(a: Column, b: Column) -> Column:
     def best(x: Column, ys: Column) -> Column:
         return F.coalesce(
             F.array_max(
@@ -70,13 +97,15 @@ def soft_overlap(a: Column, b: Column) -> Column:
 
 def shingles(words: Column, n: int = 3) -> Column:
     """Every run of ``n`` consecutive words, joined by blanks; empty if too short."""
-    return F.when(
-        F.size(words) >= n,
-        F.transform(
-            F.sequence(F.lit(1), F.size(words) - (n - 1)),
-            lambda i: F.array_join(F.slice(words, i, n), " "),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    def build(ws: Column) -> Column:
+        return F.when(
+            F.size(ws) >= n,
+            F.transform(
+                F.sequence(F.lit(1), F.size(ws) - (n - 1)),
+                lambda i: F.array_join(F.slice(ws, i, n), " "),
+            ),
+        ).otherwise(F.array().cast("array<string>"))
+    return bind(words, build)
 
 
 def uniq(arr: Column) -> Column:
@@ -87,3 +116,19 @@ def uniq(arr: Column) -> Column:
 def minus(a: Column, b: Column) -> Column:
     """Distinct entries of ``a`` that ``b`` lacks, in ``a``'s order."""
     return F.array_except(a, b)
+
+
+def kept_count(words: Column, other: Column) -> Column:
+    """How many of the words, repeats included, the other list has."""
+    return F.size(F.filter(words, lambda w: F.array_contains(other, w)))
+
+
+def words_kept(words: Column, other: Column, share: float = 0.8, least: int = 4) -> Column:
+    """Whether most words of a comment long enough to tell are in the other list."""
+    return (F.size(words) >= least) & (kept_count(words, other) >= share * F.size(words))
+
+
+def holds_run(words: Column, other: Column) -> Column:
+    """Whether the words appear in the other list in order and without a break."""
+    mark = lambda a: F.concat(F.lit("\u0001"), F.array_join(a, "\u0001"), F.lit("\u0001"))
+    return (F.size(words) > 0) & F.contains(mark(other), mark(words))
