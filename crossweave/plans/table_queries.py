@@ -426,13 +426,13 @@ def greedy_assignment(t):
     "class_ancestors",
     """
     WITH RECURSIVE e AS (SELECT vec_id AS cls, vec_id // 2 AS base FROM embeddings WHERE vec_id > 0),
-    up AS (SELECT cls, base AS ancestor FROM e UNION SELECT up.cls, e.base FROM up JOIN e ON up.ancestor = e.cls)
-    SELECT cls, ancestor FROM up
+    up AS (SELECT cls, base AS ancestor, 1 AS d FROM e UNION SELECT up.cls, e.base, d + 1 FROM up JOIN e ON up.ancestor = e.cls)
+    SELECT cls, ancestor, CAST(min(d) AS INT) AS distance FROM up GROUP BY ALL
     """,
 )
 def class_ancestors(t):
     e = t.embeddings.filter("vec_id > 0").select("vec_id", F.floor(F.col("vec_id") / 2).alias("base"))
-    return hierarchy.ancestors(e, [], "vec_id", "base")
+    return hierarchy.ancestors(e, [], "vec_id", "base").select("cls", "ancestor", "distance")
 
 
 @query(
