@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .seqs import literal_map
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -150,7 +152,7 @@ def cfg_words(c: Column) -> Column:
 
 
 def alias_call(c: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in _alias_map.items() for x in kv])
+    table = literal_map(_alias_map)
     return F.coalesce(F.try_element_at(table, c), c)
 
 
@@ -280,7 +282,7 @@ def class_key(cls: Column) -> Column:
 def name_words(lang: Column, cls: Column, base: Column) -> Column:
     """Words of a function's name; constructors are ``new``, destructors ``drop``."""
     joined = F.regexp_replace(base, r"\s+", "")
-    table = F.create_map(*[F.lit(x) for kv in OPERATORS.items() for x in kv])
+    table = literal_map(OPERATORS)
     plain = words(F.coalesce(F.try_element_at(table, joined), base))
     cpp = lang == "cpp"
     return (

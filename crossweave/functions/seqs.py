@@ -17,6 +17,15 @@ def bind2(a: Column, b: Column, fn) -> Column:
     return bind(F.struct(a.alias("a"), b.alias("b")), lambda p: fn(p["a"], p["b"]))
 
 
+def literal_map(table: dict) -> Column:
+    """A constant map, built as one expression."""
+    def lit(v) -> str:
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return str(v).lower() if isinstance(v, bool) else str(v)
+    return F.expr("map(" + ", ".join(f"{lit(k)}, {lit(v)}" for k, v in table.items()) + ")")
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Shared share of two arrays read as sets; two empty arrays agree fully."""
     return bind2(a, b, _jaccard)
