@@ -105,32 +105,27 @@ def similar_sets(
     )
 
     def prefixes(d: DataFrame, ids: list[str], col: str, side: str) -> DataFrame:
-        one = d.select(*within, *[F.col(c).alias(f"{side}{c}") for c in ids], F.explode(F.array_distinct(col)).alias("_e"))
-        gathered = (
-            one.join(items, [*within, "_e"])
-            .groupBy(*within, *[f"{side}{c}" for c in ids])
-            .agg(F.array_sort(F.collect_list(F.struct("_df", "_e"))).alias("_o"))
-        )
+        named = [F.col(c).alias(f"{side}{c}") for c in ids]
+        one = d.select(*within, *named, F.explode(F.array_distinct(col)).alias("_e"))
+        keys = [*within, *[f"{side}{c}" for c in ids]]
+        ordered = one.join(items, [*within, "_e"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_df", "_e"))).alias("_o"))
         n = F.size("_o")
         take = n - F.ceil(F.lit(threshold) * n - 1e-9) + 1
-        return gathered.select(
-            *within, *[f"{side}{c}" for c in ids],
-            F.transform("_o", lambda x: x["_e"]).alias(f"{side}set"),
-            F.explode(F.slice(F.transform("_o", lambda x: x["_e"]), F.lit(1), take.cast("int"))).alias("_e"),
+        # Prefix rows carry the set's size only; the sets meet again for the pairs found.
+        return ordered.select(*keys, n.alias(f"{side}n"), F.explode(F.slice("_o", F.lit(1), take.cast("int"))).alias("_x")).select(
+            *keys, f"{side}n", F.col("_x._e").alias("_e")
         )
 
     a, b = prefixes(left, lid, lset, "l_"), prefixes(right, rid, rset, "r_")
-    na, nb = F.size("l_set"), F.size("r_set")
     lids, rids = [f"l_{c}" for c in lid], [f"r_{c}" for c in rid]
+    na, nb = F.col("l_n"), F.col("r_n")
+    alike = (na >= nb * threshold - 1e-9) & (nb >= na * threshold - 1e-9)
+    met = a.join(b, [*within, "_e"]).filter(alike).select(*within, *lids, *rids).distinct()
+    whole = lambda d, ids, col, side: d.select(*within, *[F.col(c).alias(f"{side}{c}") for c in ids], F.array_distinct(col).alias(f"{side}set"))
+    full = met.join(whole(left, lid, lset, "l_"), [*within, *lids]).join(whole(right, rid, rset, "r_"), [*within, *rids])
     shared = F.size(F.array_intersect("l_set", "r_set"))
-    lengths = (na >= nb * threshold - 1e-9) & (nb >= na * threshold - 1e-9)
-    met = a.join(b, [*within, "_e"]).filter(lengths)
-    score = shared / (na + nb - shared)
-    return (
-        met.select(*within, *lids, *rids, score.alias("jaccard"))
-        .filter(F.col("jaccard") >= threshold - 1e-9)
-        .dropDuplicates([*within, *lids, *rids])
-    )
+    score = shared / (F.size("l_set") + F.size("r_set") - shared)
+    return full.select(*within, *lids, *rids, score.alias("jaccard")).filter(F.col("jaccard") >= threshold - 1e-9)
 
 
 def contained_runs(

@@ -54,3 +54,9 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/crossweave/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """More partitions for costly per-row work, where the input has fewer than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
