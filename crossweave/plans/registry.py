@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -19,6 +21,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
 
+    def texts(self, name: str, *cols: str) -> DataFrame:
+        """Columns of a table for costly work per text, over all cores even if the table is one split."""
+        return spread(getattr(self, name).select(*cols))
+
 
 def query(name: str, sql: str | None = None):
     """Registers ``fn(tables)`` as a query, with the SQL that must agree with it."""

@@ -131,7 +131,7 @@ def enclosing_folders(t):
     """,
 )
 def text_lines(t):
-    lines = t.documents.select("doc_id", F.explode(T.lines(F.col("text"))).alias("line"))
+    lines = t.texts("documents", "doc_id", "text").select("doc_id", F.explode(T.lines(F.col("text"))).alias("line"))
     return lines.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("lines"), F.max(F.length("line")).alias("longest"),
         F.count(F.when(F.trim("line") == "", 1)).alias("blank"),
@@ -147,7 +147,7 @@ def text_lines(t):
     """,
 )
 def comment_terms(t):
-    w = t.documents.select("doc_id", T.comment_words(F.col("text")).alias("w"))
+    w = t.texts("documents", "doc_id", "text").select("doc_id", T.comment_words(F.col("text")).alias("w"))
     return w.select(
         "doc_id", F.size("w").alias("words"), F.md5(F.array_join("w", " ")).alias("digest"),
         F.size(F.array_distinct("w")).alias("distinct_words"),
@@ -347,7 +347,7 @@ _RUNS = "list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_st
 def carried_over_text(t):
     """Texts whose three-word runs are, at least by half, in another text."""
     runs_of = lambda d, k: d.select(k, S.shingles(T.comment_words(F.col("text"))).alias("runs"))
-    found = matching.contained_runs(runs_of(t.benchmark, "item_id"), runs_of(t.documents, "doc_id"), ["item_id"], ["doc_id"])
+    found = matching.contained_runs(runs_of(t.benchmark, "item_id"), runs_of(t.texts("documents", "doc_id", "text"), "doc_id"), ["item_id"], ["doc_id"])
     return found.select("item_id", "doc_id", "runs_found", "runs_total")
 
 
@@ -362,7 +362,7 @@ def carried_over_text(t):
 )
 def similar_word_sets(t):
     sets = lambda d, k: d.select(k, F.array_distinct(T.comment_words(F.col("text"))).alias("ws"))
-    found = matching.similar_sets(sets(t.benchmark, "item_id"), sets(t.documents, "doc_id"), ["item_id"], ["doc_id"], "ws", "ws", 0.25)
+    found = matching.similar_sets(sets(t.benchmark, "item_id"), sets(t.texts("documents", "doc_id", "text"), "doc_id"), ["item_id"], ["doc_id"], "ws", "ws", 0.25)
     return found.select(F.col("l_item_id").alias("item_id"), F.col("r_doc_id").alias("doc_id"), F.round("jaccard", 6).alias("jaccard"))
 
 
@@ -671,7 +671,7 @@ def placement_splits(t):
 def once_per_group(t):
     from ..operators.rollups import once_per
     hits = (
-        t.documents.select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("pos", "line"))
+        t.texts("documents", "doc_id", "text").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("pos", "line"))
         .filter(F.col("line").rlike(r"(?i)\b(license|licensed|copyright|warranty)\b"))
         .select("doc_id", (F.col("pos") + 1).alias("line_no"))
     )
