@@ -14,6 +14,7 @@ from ..functions import seqs as S
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import hierarchy, matching, runs
+from ..operators.align import alignment, word_diff
 from ..operators.selection import changed_fraction
 from . import sqltext as Q
 from .registry import query
@@ -366,6 +367,34 @@ def similar_word_sets(t):
     return found.select(F.col("l_item_id").alias("item_id"), F.col("r_doc_id").alias("doc_id"), F.round("jaccard", 6).alias("jaccard"))
 
 
+def _as_units(text: str):
+    """Sentences of a text as plain statements, for the aligner."""
+    none = F.array().cast("array<string>")
+    words = lambda s: F.array_sort(F.array_distinct(T.comment_words(s)))
+    sentences = F.filter(F.split(F.col(text), r"[.!?]\s*|\n"), lambda s: F.trim(s) != "")
+    no, ret = F.lit(False), F.lit(None).cast("struct<tag:string,code:string>")
+    return F.transform(sentences, lambda s: F.struct(
+        F.lit("stmt").alias("kind"), F.lit(0).alias("depth"), none.alias("calls"), none.alias("idents"), words(s).alias("names"),
+        none.alias("errors"), none.alias("locks"), none.alias("comment"), no.alias("propagates"), no.alias("checks_error"),
+        no.alias("safety"), no.alias("lock_plumbing"), ret.alias("ret")))
+
+
+@query("aligned_sentences")
+def aligned_sentences(t):
+    """Consecutive turns aligned sentence by sentence; tested against properties, as SQL cannot say it."""
+    turns = t.conversations.select("conv_id", "turn", "text")
+    seen = runs.Ordered(turns, ["conv_id"], ["turn"]).previous("text", "before").df.filter("before IS NOT NULL")
+    a = seen.select("conv_id", "turn", alignment(_as_units("before"), _as_units("text")).alias("a"))
+    both = F.size(F.filter("a.rows", lambda x: x["c"].isNotNull() & x["r"].isNotNull()))
+    return a.select("conv_id", "turn", F.size("a.rows").alias("rows"), both.alias("matched"), F.round("a.body", 6).alias("share"))
+
+
+@query("described_word_differences")
+def described_word_differences(t):
+    """How the words of consecutive turns differ, in words."""
+    return _turns(t).select("conv_id", "turn", word_diff(F.col("prev"), F.col("w")).alias("difference"))
+
+
 # Matching ---------------------------------------------------------------------
 
 
