@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, tokens
+from . import langid, mixing, shingle_join, tokens
+from . import texts as T
 
 QUERIES, ORACLES = {}, {}
 
@@ -23,6 +24,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op5_ngram_jaccard")
+def op5(spark, folder):
+    return shingle_join.join(table(spark, folder, "documents"), shingle_join.Rule(3, 9, 10))
+
+
 @query("op8_token_binary")
 def op8(spark, folder):
     return tokens.tokens(table(spark, folder, "documents"))
@@ -32,3 +38,10 @@ def op8(spark, folder):
 def op9(spark, folder):
     made = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "source"))
     return made.select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", (F.col("_mix.size") * F.col("_mix.copies")).alias("taken"))
+
+
+@query("op10_language_id")
+def op10(spark, folder):
+    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    made = langid.predict(docs, langid.learn(docs))
+    return made.select("doc_id", T.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
