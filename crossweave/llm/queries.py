@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, shingle_join, tokens
+from . import langid, licenses, mixing, quality, shingle_join, tokens
 from . import texts as T
 
 QUERIES, ORACLES = {}, {}
@@ -24,11 +24,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_license_scan")
+def op1(spark, folder):
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 @query("op5_ngram_jaccard")
 def op5(spark, folder):
     return shingle_join.join(table(spark, folder, "documents"), shingle_join.Rule(3, 9, 10))
 
 
+@query("op6_quality")
+def op6(spark, folder):
+    docs = table(spark, folder, "documents")
+    made = quality.score(docs, quality.learn(docs, table(spark, folder, "labels")))
+    return made.select("doc_id", T.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"), "n_passages")
+
+
 @query("op8_token_binary")
 def op8(spark, folder):
     return tokens.tokens(table(spark, folder, "documents"))
