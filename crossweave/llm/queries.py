@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, quality, shingle_join, tokens
+from . import langid, licenses, maintext, mixing, quality, shingle_join, tokens
 from . import texts as T
 
 QUERIES, ORACLES = {}, {}
@@ -41,6 +41,11 @@ def op6(spark, folder):
     return made.select("doc_id", T.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"), "n_passages")
 
 
+@query("op7_main_text")
+def op7(spark, folder):
+    return maintext.extract(table(spark, folder, "pages"))
+
+
 @query("op8_token_binary")
 def op8(spark, folder):
     return tokens.tokens(table(spark, folder, "documents"))
