@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, maintext, mixing, quality, shingle_join, tokens
+from . import decontaminate, langid, licenses, maintext, mixing, quality, shingle_join, tokens
 from . import texts as T
 
 QUERIES, ORACLES = {}, {}
@@ -29,6 +29,11 @@ def op1(spark, folder):
     return licenses.scan(table(spark, folder, "documents"))
 
 
+@query("op4_decontamination")
+def op4(spark, folder):
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op5_ngram_jaccard")
 def op5(spark, folder):
     return shingle_join.join(table(spark, folder, "documents"), shingle_join.Rule(3, 9, 10))

@@ -11,6 +11,8 @@ file. Null ids come first and equal ids are ordered by text. A null text is empt
 
 from __future__ import annotations
 
+import functools
+import os
 import re
 import uuid
 import zlib
@@ -26,23 +28,38 @@ from . import texts as T
 
 LENGTH = 1024
 END = 2
-#: Sequences in a batch of a file; pieces of text whose ids a worker keeps; texts sent to the tokenizer at once.
+#: Sequences in a batch of a file; pieces of text whose ids a worker keeps.
 BATCH = 512
-KEPT = 400_000
+KEPT = 300_000
 
 _PAIR = re.compile(r"\s ")
 _CUT = re.compile(r"(?<!\s)(?= )")
+_FINE = re.compile(r"(?<=[^\W\d_])(?=[^\w\s'’])|(?<=\S)(?=[ \t-\r])|(?<=\S\n)(?=\S)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable bytes as themselves, the others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b if b in plain else 256 + others.index(b)) for b in range(256)}
 
 
 class Encoder:
-    """Ids of whole texts. A blank after a character that is none always begins a new piece of the tokenizer's
-    pre-tokenization, so texts are cut there and the ids of frequent pieces are kept."""
+    """Ids of whole texts.
+
+    A blank after a character that is none always begins a new piece of the tokenizer's pre-tokenization, so texts are cut there
+    and the ids of frequent pieces are kept. A piece that is not kept is cut further where pre-tokenization certainly
+    cuts: after a letter before a mark, before white space, after a lone line end. What remains as letters alone goes to the tokenizer's model
+    directly, anything else through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.kept: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
@@ -51,19 +68,35 @@ class Encoder:
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]] if first or rest else []
 
+    def encode_pieces(self, lacking: list[str]) -> dict[str, bytes]:
+        kept, fine, whole = self.kept, {}, []
+        cut = {x: [y for y in _FINE.split(x) if y] for x in lacking}
+        for y in {y for parts in cut.values() for y in parts}:
+            if y in kept:
+                fine[y] = kept[y]
+            elif (y[1:] if y[0] == " " else y).isalpha():
+                fine[y] = np.array([t.id for t in self.model.tokenize(y.encode().decode("latin-1").translate(self.letters))], np.uint16).tobytes()
+            else:
+                whole.append(y)
+        for i in range(0, len(whole), 1000):
+            part = whole[i : i + 1000]
+            for y, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                fine[y] = np.array(e.ids, np.uint16).tobytes()
+        if len(kept) + len(fine) <= KEPT:
+            kept.update(fine)
+        return {x: b"".join([fine[y] for y in parts]) for x, parts in cut.items()}
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.pieces(x) for x in texts]
-        kept, new = self.kept, {}
-        lacking = list({x for p in cut for x in p if x not in kept})
-        for i in range(0, len(lacking), 2000):
-            part = lacking[i : i + 2000]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                new[x] = np.array(e.ids, np.uint16).tobytes()
-        if len(kept) + len(new) <= KEPT:
-            kept.update(new)
-            return [np.frombuffer(b"".join([kept[x] for x in p]), np.uint16) for p in cut]
-        have = {**{x: kept[x] for p in cut for x in p if x in kept}, **new}
-        return [np.frombuffer(b"".join([have[x] for x in p]), np.uint16) for p in cut]
+        kept = self.kept
+        new = self.encode_pieces(list({x for p in cut for x in p if x not in kept}))
+        return [np.frombuffer(b"".join([kept[x] if x in kept else new[x] for x in p]), np.uint16) for p in cut]
+
+
+@functools.lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder, kept from task to task."""
+    return Encoder(path)
 
 
 def default_path() -> str:
@@ -135,7 +168,7 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, l
     path = path or default_path()
 
     def run(batches):
-        encoder, writer = Encoder(path), None
+        encoder, writer = encoder_of(path), None
         for batch in batches:
             for lo, hi, data, offsets in T.slices(batch.column(1)):
                 if writer is None:
@@ -147,7 +180,7 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, l
             writer.close()
             yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([writer.docs], pa.int64()), pa.array([writer.total], pa.int64())], names=["part", "docs", "ids"])
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     made = ordered.mapInArrow(run, "part long, docs long, ids long").collect()  # one row a file
     return uri, spark.createDataFrame(made, "part long, docs long, ids long")
 
@@ -186,7 +219,7 @@ def read(folder: str, files: DataFrame) -> DataFrame:
                         yield pa.record_batch([rows.column(0), pa.array(start + ends - lengths, pa.int64()), rows.column(1), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
                         held, start = ids[need:], start + need
 
-    at = files.select("part", before.alias("start")).repartition("part")
+    at = files.select("part", before.alias("start")).repartition(max(1, files.count()), "part")
     return at.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
