@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, maintext, mixing, quality, shingle_join, tokens
+from . import decontaminate, langid, licenses, maintext, mixing, neighbours, quality, shingle_join, tokens
 from . import texts as T
 
 QUERIES, ORACLES = {}, {}
@@ -29,6 +29,12 @@ def op1(spark, folder):
     return licenses.scan(table(spark, folder, "documents"))
 
 
+@query("op3_nearest_neighbours")
+def op3(spark, folder):
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 @query("op4_decontamination")
 def op4(spark, folder):
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
