@@ -27,14 +27,12 @@ HASHES = 3
 SHARE = 0.6
 LEAST = 3
 
-_letters = None
-
-
 def letter_table() -> np.ndarray:
-    global _letters
-    if _letters is None:
-        _letters = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-    return _letters
+    """Which code points are letters."""
+    store = T.worker_store()
+    if "letters" not in store:
+        store["letters"] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    return store["letters"]
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

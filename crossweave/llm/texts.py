@@ -6,6 +6,8 @@ them as start and end positions. A slice holds about ``SLICE`` bytes, or one tex
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,7 +28,6 @@ _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
-_powers: dict[int, np.ndarray] = {}
 
 
 def learnable(doc_id: Column) -> Column:
@@ -71,12 +72,19 @@ def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
+def worker_store() -> dict:
+    """What a worker process keeps from task to task. The package itself travels with each job, so its own globals do not last."""
+    name = "_corpus_worker_store"
+    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+
+
 def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
+    store = worker_store()
+    have = store.get(f"power {base}")
     if have is None or len(have) < n:
         steps = np.full(max(n, SLICE + 1), base, np.uint64)
         steps[0] = 1
-        _powers[base] = have = np.multiply.accumulate(steps)
+        store[f"power {base}"] = have = np.multiply.accumulate(steps)
     return have[:n]
 
 

@@ -11,7 +11,6 @@ file. Null ids come first and equal ids are ordered by text. A null text is empt
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import uuid
@@ -93,10 +92,12 @@ class Encoder:
         return [np.frombuffer(b"".join([kept[x] if x in kept else new[x] for x in p]), np.uint16) for p in cut]
 
 
-@functools.lru_cache(1)
 def encoder_of(path: str) -> Encoder:
     """A worker's encoder, kept from task to task."""
-    return Encoder(path)
+    store = T.worker_store()
+    if f"encoder {path}" not in store:
+        store[f"encoder {path}"] = Encoder(path)
+    return store[f"encoder {path}"]
 
 
 def default_path() -> str:
