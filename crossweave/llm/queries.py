@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, maintext, mixing, neighbours, quality, shingle_join, tokens
+from . import decontaminate, langid, licenses, maintext, mixing, neighbours, quality, shingle_join, tokens, toxicity
 from . import texts as T
 
 QUERIES, ORACLES = {}, {}
@@ -29,6 +29,13 @@ def op1(spark, folder):
     return licenses.scan(table(spark, folder, "documents"))
 
 
+@query("op2_toxicity")
+def op2(spark, folder):
+    docs = table(spark, folder, "documents")
+    made = toxicity.score(docs, toxicity.learn(docs, table(spark, folder, "labels")))
+    return made.select("doc_id", T.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.ACCEPT).cast("int").alias("predicted"))
+
+
 @query("op3_nearest_neighbours")
 def op3(spark, folder):
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
