@@ -59,9 +59,9 @@ TEMPLATES = (
     Template("apache-2", "licensed under the apache license version 2 0", ("apache license version 2",)),
     Template("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
     Template("cc-by", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution", "international license")),
-    Template("gpl-3", "licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
-    Template("gpl-2", "licensed under the gnu general public license version 2", ("gnu general public license", "version 2")),
-    Template("lgpl", "licensed under the gnu lesser general public license", ("gnu lesser general public license",)),
+    Template("gpl-3", "gnu general public license version 3", ("gnu general public license", "version 3")),
+    Template("gpl-2", "gnu general public license version 2", ("gnu general public license", "version 2")),
+    Template("lgpl", "gnu lesser general public license", ("gnu lesser general public license",)),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use", "source and binary forms", "following conditions are met")),
     Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("modify and or distribute", "with or without fee")),
