@@ -41,6 +41,7 @@ TABLE = (
     (120, 0.05, 45, 0.0, 80, 0.0, "article", 1), (3, 0.0, 120, 0.0, 0, 0.0, "article", 1), (12, 0.4, 60, 0.0, 70, 0.0, "article", 1),
     (2, 0.5, 60, 0.0, 9, 1.0, "article", 1), (30, 0.0, 6, 1.0, 12, 0.0, "article", 1), (6, 0.0, 9, 0.0, 5, 0.0, "article", 1),
     (400, 0.01, 10, 0.0, 7, 1.0, "article", 1), (5, 1.0, 80, 0.0, 60, 0.0, "article", 1), (1, 0.0, 0, 0.0, 0, 0.0, "article", 1),
+    (4, 1.0, 10, 0.0, 50, 0.0, "article", 1), (3, 1.0, 5, 1.0, 30, 0.0, "article", 1),
     # Menus, footers, sidebars, notices, adverts, forms and readers' comments.
     (1, 1.0, 1, 1.0, 1, 1.0, "furniture", 0), (1, 1.0, 0, 0.0, 1, 1.0, "furniture", 0), (9, 0.0, 1, 1.0, 12, 0.0, "furniture", 0),
     (12, 0.0, 60, 0.0, 0, 0.0, "furniture", 0), (50, 0.0, 40, 0.0, 3, 0.0, "furniture", 0), (4, 0.5, 90, 0.0, 1, 1.0, "furniture", 0),
@@ -50,6 +51,7 @@ TABLE = (
     (40, 0.0, 35, 0.0, 50, 0.0, "none", 1), (18, 0.0, 25, 0.0, 30, 0.0, "none", 1), (90, 0.1, 3, 1.0, 60, 0.0, "none", 1),
     (150, 0.0, 0, 0.0, 0, 0.0, "none", 1), (7, 0.0, 4, 1.0, 45, 0.0, "none", 1), (9, 0.0, 60, 0.0, 55, 0.0, "none", 1),
     (25, 0.2, 60, 0.0, 6, 0.6, "none", 1), (22, 0.0, 0, 0.0, 20, 0.0, "none", 1), (5, 0.0, 40, 0.0, 30, 0.0, "none", 1),
+    (30, 0.0, 60, 0.0, 1, 1.0, "none", 1), (80, 0.0, 2, 1.0, 3, 1.0, "none", 1), (26, 0.1, 40, 0.0, 2, 1.0, "none", 1),
     (2, 1.0, 2, 1.0, 2, 1.0, "none", 0), (6, 0.8, 30, 0.0, 5, 1.0, "none", 0), (3, 0.0, 2, 1.0, 2, 1.0, "none", 0),
     (8, 0.0, 50, 0.0, 2, 1.0, "none", 0), (20, 0.7, 40, 0.0, 18, 0.8, "none", 0), (4, 0.0, 0, 0.0, 2, 1.0, "none", 0),
     (6, 0.0, 3, 0.0, 4, 0.0, "none", 0), (35, 0.9, 30, 0.9, 40, 0.8, "none", 0), (3, 0.0, 5, 0.0, 0, 0.0, "none", 0),
