@@ -45,7 +45,14 @@ _WORD = np.array([c != 32 for c in _SPLIT])
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").translate(_SPLIT).split()
+    return (text or "").lower().encode("utf-8", "replace").translate(_SPLIT).split()
+
+
+def lowered(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts of a slice in small letters."""
+    raw = bytes(data)
+    made = [raw[a:b].decode("utf-8", "replace").lower().encode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return np.frombuffer(b"".join(made), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in made])]).astype(np.int64)
 
 
 def segments(words: list[bytes]) -> list[list[bytes]]:
@@ -122,12 +129,11 @@ class Index:
         self.most = np.array([v for x in lists for _, v in x], float)
 
     def pivots(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """Text, first and last+1 word of the passage, and block, of every pivot."""
-        low = T.LOWER[data]
-        starts, ends, first = T.spans(low, offsets, _WORD)
+        """Text, first and last+1 word of the passage, and block, of every pivot in texts of small letters."""
+        starts, ends, first = T.spans(data, offsets, _WORD)
         if len(starts) == 0 or len(self.hashes) == 0:
             return []
-        h = T.word_hashes(low, starts, ends)
+        h = T.word_hashes(data, starts, ends)
         seen = np.flatnonzero(self.taken[(h & np.uint64(_SLOTS - 1)).astype(np.int64)])
         term = np.minimum(np.searchsorted(self.hashes, h[seen]), len(self.hashes) - 1)
         hit = self.hashes[term] == h[seen]
@@ -154,6 +160,7 @@ class Index:
 
     def found(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float, float, float]]:
         """Text, item, score, overlap of question and of answer for all verified items of the texts of a slice."""
+        data, offsets = lowered(data, offsets)
         raw, words, out = bytes(data), {}, {}
         for doc, a, b, block in self.pivots(data, offsets):
             if doc not in words:
