@@ -10,7 +10,8 @@ vector that millions share takes one place. The addresses' first parts are the g
 cut into blocks of ``ENTRIES`` entries and ``QUERIES`` queries, by counts, so none grows with the data. Each block yields the
 nearest of its candidates for each query, which is enough for the nearest of all.
 
-Every vector is indexed and every query is answered. Vectors that are null, zero, of another length than most, or that hold null or
+Every vector is indexed and every query is answered; queries whose addresses held fewer than are asked for are compared with all
+vectors, in blocks. Vectors that are null, zero, of another length than most, or that hold null or
 non-finite components take no part. Ties go to the smaller id. Repeated ids with equal vectors count once.
 """
 
@@ -105,6 +106,40 @@ def _smallest(rows: DataFrame, n: int) -> DataFrame:
     return few.groupBy("vec").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, n).alias("ids"))
 
 
+def _ranked(near: DataFrame, entries: DataFrame, nearest: int) -> DataFrame:
+    """The first of each query by distance and id; an entry stands for its smallest ids."""
+    named = near.join(entries.select("entry", "ids"), "entry").select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
+    best = named.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, nearest).alias("best"))
+    return best.select("query_id", F.posexplode("best").alias("i", "b")).select("query_id", (F.col("i") + 1).alias("rank"), "b.vec_id", "b.score")
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of x nearest to y, with all that tie with the last, and their distances."""
+    d = np.sqrt(((x - y) ** 2).sum(1))
+    if len(d) <= nearest + 1:
+        return np.arange(len(d)), d
+    keep = np.flatnonzero(d <= np.partition(d, nearest)[nearest])
+    return keep, d[keep]
+
+
+def _all_pairs_of_blocks(entries: DataFrame, queries: DataFrame, nearest: int) -> DataFrame:
+    """The exact way for queries whose addresses held too few vectors: blocks of all entries meet blocks of these queries."""
+    nx, nq = -(-entries.count() // ENTRIES) or 1, -(-queries.count() // QUERIES) or 1
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = entries.select(F.pmod(F.xxhash64("entry"), F.lit(nx)).cast("int").alias("x"), spread(nq).alias("q"), F.col("entry").alias("id"), "vec")
+    right = queries.select(spread(nx).alias("x"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("q"), F.col("query_id").alias("id"), "vec")
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        ids, x = a.column("id").to_numpy(), _matrix(a.column("vec").combine_chunks())
+        who, y = b.column("id").to_numpy(), _matrix(b.column("vec").combine_chunks())
+        found = [_nearest(x, y[i], nearest) for i in range(len(who))] if len(ids) else []
+        cols = [np.concatenate([np.zeros(0, t), *c]) for t, c in (
+            (np.int64, [np.full(len(at), w) for (at, _), w in zip(found, who.tolist(), strict=False)]), (np.int64, [ids[at] for at, _ in found]), (float, [d for _, d in found]))]
+        return pa.table(cols, names=["query_id", "entry", "score"])
+
+    return left.groupBy("x", "q").cogroup(right.groupBy("x", "q")).applyInArrow(meet, "query_id long, entry long, score double")
+
+
 def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST) -> DataFrame:
     """query_id, rank, vec_id, score of the nearest vectors found for each query.
 
@@ -175,18 +210,16 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST) -> Da
                 at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 if len(at) == 0:
                     continue
-                d = np.sqrt(((x[at] - y[i]) ** 2).sum(1))
-                if len(at) > nearest + 1:  # all that tie with the last stay
-                    keep = d <= np.partition(d, nearest)[nearest]
-                    at, d = at[keep], d[keep]
-                out.append((np.full(len(at), who[i]), ids[at], d))
+                keep, d = _nearest(x[at], y[i], nearest)
+                out.append((np.full(len(keep), who[i]), ids[at[keep]], d))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "entry", "score"])
 
     keys = ("bucket", "x", "q")
     met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, entry long, score double")
-    near = met.groupBy("query_id", "entry").agg(F.min("score").alias("score"))
-    # Each entry stands for its smallest ids; of all, the first by distance and id are the result.
-    named = near.join(entries.select("entry", "ids"), "entry").select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
-    best = named.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, nearest).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("i", "b")).select("query_id", (F.col("i") + 1).alias("rank"), "b.vec_id", "b.score")
+    near = stage(met.groupBy("query_id", "entry").agg(F.min("score").alias("score")), "ann-near")
+    enough = _ranked(near, entries, nearest).groupBy("query_id").agg(F.count("*").alias("found")).filter(F.col("found") >= nearest).select("query_id")
+    lacking = stage(asked.join(enough, "query_id", "left_anti"), "ann-lacking")
+    if not lacking.isEmpty():
+        near = near.join(lacking, "query_id", "left_anti").union(_all_pairs_of_blocks(entries, lacking, nearest))
+    return _ranked(near, entries, nearest)
