@@ -6,6 +6,7 @@ import argparse
 import os
 import sys
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from .config import DEFAULT_WIDTH, Options
@@ -41,7 +42,7 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
         return run(args)
-    except (RuntimeError, OSError, ValueError) as e:
+    except (RuntimeError, OSError, ValueError, PySparkException) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
 

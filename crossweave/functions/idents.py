@@ -137,11 +137,16 @@ def squash(c: Column) -> Column:
     return F.regexp_replace(c, "_", "")
 
 
-def strip_generics(c: Column, depth: int = 4) -> Column:
-    """Drops ``<...>``, innermost first, ``depth`` levels deep."""
-    for _ in range(depth):
-        c = F.regexp_replace(c, r"<[^<>]*>", "")
-    return F.regexp_replace(c, r"<.*$", "")
+def strip_generics(c: Column) -> Column:
+    """Drops ``<...>`` however deeply nested, and what follows a bracket that is never closed."""
+    state = lambda depth, text: F.struct(depth.alias("depth"), text.alias("text"))
+    step = lambda at, part: (
+        F.when(part.startswith("<"), state(at["depth"] + 1, at["text"]))
+        .when(part.startswith(">") & (at["depth"] > 0), state(at["depth"] - 1, F.when(at["depth"] == 1, F.concat(at["text"], F.regexp_replace(part, "^>", ""))).otherwise(at["text"])))
+        .otherwise(state(at["depth"], F.when(at["depth"] == 0, F.concat(at["text"], part)).otherwise(at["text"])))
+    )
+    plain = F.aggregate(F.split(c, "(?=[<>])"), state(F.lit(0), F.lit("")), step, lambda at: at["text"])
+    return F.when(F.instr(c, "<") > 0, plain).otherwise(c)
 
 
 def cfg_words(c: Column) -> Column:

@@ -44,12 +44,7 @@ def _diff_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _show_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        texts = []
-        for r in pdf.itertuples(index=False):
-            try:
-                texts.append(git(r.repo, "show", f"{r.rev}:{r.path}"))
-            except RuntimeError:
-                texts.append("")
+        texts = [git(r.repo, "show", f"{r.rev}:{r.path}") for r in pdf.itertuples(index=False)]
         yield pdf.drop(columns=["repo", "rev"]).assign(text=texts)
 
 
