@@ -787,6 +787,22 @@ def constant_aliases(t):
     return follow_aliases(d, [], "name", "target")
 
 
+@query(
+    "long_alias_chains",
+    """
+    WITH p AS (SELECT p_partkey AS k, p_partkey // 20 AS g, max(p_partkey) OVER () AS top FROM part),
+    e AS (SELECT k, g, CASE WHEN g * 20 + 19 <= top THEN g * 20 + 19 ELSE top END AS last, g * 20 + 19 <= top AS whole, top FROM p)
+    SELECT 'P' || k AS name, CASE WHEN whole THEN 'E' || g ELSE 'P' || (top + 1) END AS canonical, CAST(last - k + 1 AS INT) AS hops FROM e
+    """,
+)
+def long_alias_chains(t):
+    """Chains of up to twenty constants, followed to their ends."""
+    from ..operators.constants import follow_aliases
+    k = F.col("p_partkey")
+    onward = F.when(k % 20 == 19, F.concat(F.lit("E"), F.floor(k / 20).cast("string"))).otherwise(F.concat(F.lit("P"), (k + 1).cast("string")))
+    return follow_aliases(t.part.select(F.concat(F.lit("P"), k.cast("string")).alias("name"), onward.alias("target")), [], "name", "target")
+
+
 @query(
     "mask_operations",
     """

@@ -142,3 +142,21 @@ def test_scan_finds_functions():
     s = scan_text("cpp", "namespace a { int B::f(int x) { if (x) return 1; else return 2; } }")
     assert [f["name"] for f in s.functions] == ["B::f"]
     assert [p[2] for p in s.pieces] == ["signature", "head", "stmt", "head", "stmt"]
+
+
+def test_aliases_end_or_go_in_circles(spark):
+    from crossweave.operators.constants import follow_aliases
+
+    rows = [(f"A{i}", f"A{i + 1}") for i in range(12)] + [("X", "Y"), ("Y", "Z"), ("Z", "X"), ("W", "X"), ("S", "S")]
+    got = {r["name"]: (r["canonical"], r["hops"]) for r in follow_aliases(spark.createDataFrame(rows, "name string, target string"), [], "name", "target").collect()}
+    assert got == {**{f"A{i}": ("A12", 12 - i) for i in range(12)}, "X": ("Y", 1), "Y": ("Z", 1), "Z": ("X", 1), "W": ("X", 1), "S": ("S", 1)}
+
+
+def test_generics_of_any_depth(spark):
+    from pyspark.sql import functions as F
+
+    from crossweave.functions.idents import strip_generics
+
+    texts = ["a<b>::c", "a<b<c<d<e<f<g>>>>>>::h", "plain", "a<b", "a::<X<Y>>(z)", "x->y", "a<b>c<d>e", ""]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select(strip_generics(F.col("t"))).collect()
+    assert [r[0] for r in rows] == ["a::c", "a::h", "plain", "a", "a::(z)", "x->y", "ace", ""]
