@@ -1,7 +1,7 @@
 """Joins documents whose sets of word shingles are alike (Jaccard), by token-combination prefixes.
 
 A document's set is its distinct shingles of ``k`` words, each a 64-bit hash. All sets are ordered by one order: shingles of the
-frequent class last, then by hash. Two sets of sizes n and m whose Jaccard similarity is at least ``num / den`` share at least
+frequent class last, within a class those of common words last, then by hash. Two sets of sizes n and m whose Jaccard similarity is at least ``num / den`` share at least
 num/(num+den) of n + m shingles, so each holds few that the other lacks:
 
 * The first shared shingle stands among the first ``lacking(n) + 1`` of either set (the prefix). If it is of the rare class, the
@@ -11,8 +11,9 @@ num/(num+den) of n + m shingles, so each holds few that the other lacks:
   only one set holds, since there are at most ``differing`` of those. So the two meet under a pair of neighbours, and these sets
   index the pairs of neighbours of the extended prefix. That is one key a place, not one for every pair of shingles.
 
-The argument holds whatever shingles count as frequent. The class is therefore a bit table of fixed size, filled with the most
-frequent shingles that a pass over all documents finds, and is small enough to be sent to all tasks.
+The argument holds whatever shingles count as frequent and whatever words as common. Both are therefore tables of fixed size,
+filled by a pass over all documents with the most frequent shingles and with the counts of words by slot, and are small
+enough to be sent to all tasks. The order keeps shingles that unlike texts share by chance out of the prefixes.
 
 Equal sets are one node. Under each key, the smallest node is the leader: every other is first compared with its leader only
 (one pair a row, never all pairs of a key). Where a key then still holds several components, members of different components are
@@ -31,20 +32,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
 from . import texts as T
 from .components import components
+from .scratch import Scratch
 
 #: Bits of the table of frequent shingles, and how many shingles may set one.
 CLASS_BITS = 1 << 21
 CLASS_MOST = 1 << 16
+#: Slots by which words are counted.
+WORD_SLOTS = 1 << 16
 #: A shingle is taken to be frequent from this many documents of a slice of the input on, and this many in all.
 SLICE_LEAST = 4
 FREQUENT = 64
-#: Bits of a set's parity sketch; members compared in one block; members a task compares with their leader at once.
+#: Bits of the shortest parity sketch; members compared in one block; members a task compares with their leader at once.
 SKETCH = 512
 BLOCK = 1024
 MEMBERS = 512
@@ -75,52 +78,87 @@ class Rule:
         return (n + self.den * n // self.num) * (self.den - self.num) // (self.den + self.num)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, k: int):
-    """The sorted distinct shingles of each text."""
+@dataclass(frozen=True)
+class Classes:
+    """The bits of the frequent shingles and the commonness of words by slot, as bytes of fixed size."""
+
+    frequent: bytes
+    common: bytes
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.unpackbits(np.frombuffer(self.frequent, np.uint8)).astype(bool), np.frombuffer(self.common, np.uint8)
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, k: int, common: np.ndarray | None = None):
+    """The sorted distinct shingles of each text, and how common the words of each are together (0 without a table)."""
     data = T.LOWER[data]
     starts, ends, first = T.spans(data, offsets, T.NOT_SPACE)
     h = T.word_hashes(data, starts, ends)
-    n = len(h) - k + 1
-    made = np.zeros(max(n, 0), np.uint64)
-    for j in range(k):
-        made += h[j : j + n] * _MIX[j] if n > 0 else 0
+    n = max(0, len(h) - k + 1)
+    made, score = np.zeros(n, np.uint64), np.zeros(n, np.uint16)
+    own = common[(h & np.uint64(WORD_SLOTS - 1)).astype(np.int64)] if common is not None else None
+    for j in range(k if n else 0):
+        made += h[j : j + n] * _MIX[j]
+        if own is not None:
+            score += own[j : j + n]
     made = T.mix(made)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if b - a >= k:
-            yield np.unique(made[a : b - k + 1])
+        if b - a >= k and own is not None:
+            tokens, at = np.unique(made[a : b - k + 1], return_index=True)
+            yield tokens, score[a + at]
+        elif b - a >= k:
+            tokens = np.unique(made[a : b - k + 1])
+            yield tokens, np.zeros(len(tokens), np.uint16)
         elif b > a:
             short = (h[a:b] * np.array(_MIX[: b - a])).sum(dtype=np.uint64) + np.uint64(b - a)
-            yield T.mix(np.array([short], np.uint64))
+            yield T.mix(np.array([short], np.uint64)), np.zeros(1, np.uint16)
         else:
-            yield made[:0]
+            yield made[:0], score[:0]
 
 
-def frequent_table(docs: DataFrame, rule: Rule) -> bytes:
-    """The bits of the frequent class: shingles that recur within slices of the input, counted over all of it."""
+def classes(docs: DataFrame, rule: Rule, scratch: Scratch) -> Classes:
+    """Shingles that recur within slices of the input, counted over all of it, and the words of all documents by slot."""
 
     def run(batches):
+        words = np.zeros(WORD_SLOTS, np.int64)
         for batch in batches:
-            for _, _, data, offsets in T.slices(batch.column(0), 4 * T.SLICE):
-                found, n = np.unique(np.concatenate(list(shingles(data, offsets, rule.k)) or [np.zeros(0, np.uint64)]), return_counts=True)
+            for _, _, data, offsets in T.slices(batch.column(0), 2 * T.SLICE):
+                low = T.LOWER[data]
+                starts, ends, _ = T.spans(low, offsets, T.NOT_SPACE)
+                words += np.bincount((T.word_hashes(low, starts, ends) & np.uint64(WORD_SLOTS - 1)).astype(np.int64), minlength=WORD_SLOTS)
+                found, n = np.unique(np.concatenate([t for t, _ in shingles(data, offsets, rule.k)] or [np.zeros(0, np.uint64)]), return_counts=True)
                 keep = n >= SLICE_LEAST
-                yield pa.record_batch([pa.array(found[keep].view(np.int64)), pa.array(n[keep])], names=["token", "n"])
+                yield pa.record_batch([pa.array(np.zeros(int(keep.sum()), bool)), pa.array(found[keep].view(np.int64)), pa.array(n[keep])], names=["word", "token", "n"])
+        held = np.flatnonzero(words)
+        yield pa.record_batch([pa.array(np.ones(len(held), bool)), pa.array(held), pa.array(words[held])], names=["word", "token", "n"])
 
-    found = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
-    most = found.orderBy(F.desc("n"), "token").limit(CLASS_MOST).select("token").toPandas()["token"].to_numpy(np.int64)
+    found = scratch.stage(docs.select("text").mapInArrow(run, "word boolean, token long, n long").groupBy("word", "token").agg(F.sum("n").alias("n")), "shingle-classes")
+    most = found.filter((F.col("n") >= FREQUENT) & ~F.col("word")).orderBy(F.desc("n"), "token").limit(CLASS_MOST).select("token").toPandas()["token"].to_numpy(np.int64)
     bits = np.zeros(CLASS_BITS, bool)
-    bits[most.view(np.uint64) & np.uint64(CLASS_BITS - 1)] = True
-    return np.packbits(bits).tobytes()
+    bits[(most.view(np.uint64) & np.uint64(CLASS_BITS - 1)).astype(np.int64)] = True
+    slots = found.filter("word").select("token", "n").toPandas()
+    common = np.zeros(WORD_SLOTS, np.uint8)
+    common[slots["token"].to_numpy(np.int64)] = np.log2(slots["n"].to_numpy(np.float64) + 1).astype(np.uint8)
+    scratch.drop(found)
+    return Classes(np.packbits(bits).tobytes(), common.tobytes())
+
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles at each place: sketches differ in at most as many bits as the sets do in shingles.
 
-def sketch(ordered: np.ndarray) -> bytes:
-    """Parity of the number of shingles at each place: sketches differ in at most as many bits as the sets do in shingles."""
-    at = (ordered >> np.uint64(40)) & np.uint64(SKETCH - 1)
-    return np.packbits(np.bincount(at.astype(np.int64), minlength=SKETCH) & 1).tobytes()
+    It has two bits a shingle or more, a power of two; its halves combine to the sketch of half the size.
+    """
+    bits = SKETCH
+    while bits < 2 * len(tokens):
+        bits *= 2
+    at = (tokens >> np.uint64(32)) & np.uint64(bits - 1)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=bits) & 1).view(np.int64)
 
 
-def keys_of(tokens: np.ndarray, frequent: np.ndarray, rule: Rule) -> np.ndarray:
-    """The keys a set is indexed under."""
-    n = len(tokens)
+def keys_of(tokens: np.ndarray, score: np.ndarray, frequent: np.ndarray, rule: Rule) -> np.ndarray:
+    """The keys a set is indexed under, from its sorted shingles."""
+    n, order = len(tokens), np.argsort(score, kind="stable")
+    tokens = tokens[order]
     often = frequent[tokens & np.uint64(CLASS_BITS - 1)]
     rare, many = tokens[~often], tokens[often]
     prefix = rule.lacking(n) + 1
@@ -131,23 +169,23 @@ def keys_of(tokens: np.ndarray, frequent: np.ndarray, rule: Rule) -> np.ndarray:
     return np.concatenate([rare, pairs])
 
 
-def index(docs: DataFrame, rule: Rule, table: bytes) -> DataFrame:
+def index(docs: DataFrame, rule: Rule, known: Classes) -> DataFrame:
     """doc_id, n, whole (hash of the set), sketch and keys of every document."""
-    schema = "doc_id long, n long, whole long, sketch binary, keys array<long>"
+    schema = "doc_id long, n long, whole long, sketch array<long>, keys array<long>"
 
     def work():
-        frequent = np.unpackbits(np.frombuffer(table, np.uint8)).astype(bool)
+        frequent, common = known.tables()
 
         def step(data, offsets):
             n, whole, sketches, keys, sizes = [], [], [], [], [0]
-            for tokens in shingles(data, offsets, rule.k):
+            for tokens, score in shingles(data, offsets, rule.k, common):
                 n.append(len(tokens))
                 whole.append(int(T.mix(np.array([tokens.sum(dtype=np.uint64) + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0]))
                 sketches.append(sketch(tokens))
-                keys.append(keys_of(tokens, frequent, rule) if len(tokens) else tokens)
+                keys.append(keys_of(tokens, score, frequent, rule) if len(tokens) else tokens)
                 sizes.append(sizes[-1] + len(keys[-1]))
             values = np.concatenate(keys).view(np.int64)
-            return [np.array(n, np.int64), np.array(whole, np.int64), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values))]
+            return [np.array(n, np.int64), np.array(whole, np.int64), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sketches])]), pa.int32()), pa.array(np.concatenate(sketches))), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values))]
 
         return step
 
@@ -164,7 +202,7 @@ def _needed(ids: DataFrame) -> bytes:
     return words.tobytes()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """The pairs a, b (ids of documents) whose whole sets are alike, recomputed from the texts."""
     schema = "id long, tokens array<long>"
     sizes = pairs.groupBy("a").count()
@@ -172,7 +210,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
         pairs.join(sizes, "a").select("a", F.col("b").alias("id"), F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / MEMBERS)).alias("part"))
         .union(sizes.select("a", "a", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("count") / MEMBERS) - 1))))
     )
-    asked = stage(asked, "asked")
+    asked = scratch.stage(asked, "asked")
     bits = _needed(asked.select("id").distinct())
     near = docs.select("doc_id", "text").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(NEEDED_BITS)))
 
@@ -182,7 +220,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
             slot = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((words[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1))
             for lo, hi, data, offsets in T.slices(batch.column(1)):
-                made = list(shingles(data, offsets, rule.k))
+                made = [t for t, _ in shingles(data, offsets, rule.k)]
                 at = np.concatenate([[0], np.cumsum([len(x) for x in made])])
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(made).view(np.int64)))
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), lists], names=["id", "tokens"])
@@ -210,10 +248,13 @@ def verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     return met.select("a", "part", "id", "tokens").mapInArrow(compare, "a long, b long").distinct()
 
 
-def possible(left: str, right: str, rule: Rule):
-    """Whether the sizes of two sets allow them to be alike."""
-    small, large = F.least(left, right), F.greatest(left, right)
-    return small * rule.den >= large * rule.num
+def possible(rule: Rule) -> Column:
+    """Whether sizes and sketches of two sets (n_a, n_b, sketch_a, sketch_b) allow them to be alike."""
+    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    halved = lambda c: F.zip_with(F.slice(c, F.lit(1), (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2 + 1).cast("int"), (F.size(c) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))
+    a, b = (F.when(F.size(x) > F.size(y), halved(x)).otherwise(F.col(x)) for x, y in (("sketch_a", "sketch_b"), ("sketch_b", "sketch_a")))
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return (small * rule.den >= large * rule.num) & (apart * (rule.den + rule.num) <= (F.col("n_a") + F.col("n_b")) * (rule.den - rule.num))
 
 
 def block_pairs(members: DataFrame, rule: Rule) -> DataFrame:
@@ -232,7 +273,14 @@ def block_pairs(members: DataFrame, rule: Rule) -> DataFrame:
 
     def pairs(rows):
         ids, comp, n, block, sk, p, q = rows
-        bits = np.frombuffer(b"".join(sk), np.uint64).reshape(len(ids), -1)
+        # By size, sketches of one length stand together; those of the next length are halved to meet them.
+        lengths = np.array([len(x) for x in sk])
+        tables, halves, spans = {}, {}, {}
+        for size in np.unique(lengths).tolist():
+            lo, hi = np.searchsorted(lengths, [size, size + 1]).tolist()
+            table = np.stack(sk[lo:hi])
+            tables[size], spans[size] = table, (lo, hi)
+            halves[size // 2] = table[:, : size // 2] ^ table[:, size // 2 :]
         found = []
         for i in range(len(ids) - 1):
             hi = int(np.searchsorted(n, rule.den * int(n[i]) // rule.num, "right"))
@@ -244,7 +292,11 @@ def block_pairs(members: DataFrame, rule: Rule) -> DataFrame:
             j = np.flatnonzero(ok) + i + 1
             if len(j):
                 most = (n[j] + n[i]) * (rule.den - rule.num) // (rule.den + rule.num)
-                j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(1) <= most]
+                size = len(sk[i])
+                lo, end = spans[size]
+                same = tables[size][j[j < end] - lo] ^ sk[i]
+                longer = halves[size][j[j >= end] - end] ^ sk[i] if j[-1] >= end else same[:0]
+                j = j[np.bitwise_count(np.concatenate([same, longer])).sum(1) <= most]
                 found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]))
         return np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
 
@@ -258,7 +310,9 @@ def block_pairs(members: DataFrame, rule: Rule) -> DataFrame:
 
         for batch in batches:
             key, p, q, block, ids, comp, n = (batch.column(i).to_numpy() for i in range(7))
-            sk = batch.column(7).to_pylist()
+            lists = batch.column(7)
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            sk = [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]))
             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=True):
                 now = (key[a], p[a], q[a])
@@ -276,43 +330,52 @@ def block_pairs(members: DataFrame, rule: Rule) -> DataFrame:
 def join(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (verified links of the document's class) of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = stage(index(docs, rule, frequent_table(docs, rule)), "shingle-index")
-    known = made.filter("n > 0 and doc_id is not null")
+    scratch = Scratch()
+    stage = scratch.stage
+    whole = stage(index(docs, rule, classes(docs, rule, scratch)), "shingle-index")
+    made = stage(whole.select("doc_id", "n", "whole"), "shingle-sets")
+    known = whole.filter("n > 0 and doc_id is not null")
     nodes = stage(known.groupBy("whole", "n").agg(F.min("doc_id").alias("id")), "shingle-nodes")
-    first = known.join(nodes.select(F.col("id").alias("doc_id"), "whole", "n"), ["doc_id", "whole", "n"], "left_semi").dropDuplicates(["doc_id", "whole"])
+    alone = nodes.select(F.col("id").alias("doc_id"), "whole", "n")
+    first = stage(known.join(alone, ["doc_id", "whole", "n"], "left_semi").select("doc_id", "n", "sketch", "keys"), "shingle-first")
+    scratch.drop(whole)
     keyed = first.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
     leaders = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("members")).filter("members > 1")
     shared = stage(keyed.join(leaders, "key"), "shingle-keys")
-    sizes = stage(first.select(F.col("doc_id").alias("id"), "n", "sketch"), "shingle-sizes")
+    sizes = first.select(F.col("doc_id").alias("id"), "n", "sketch").dropDuplicates(["id"])
 
     def sized(pairs):
-        a, b = (sizes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-        return pairs.join(a, "a").join(b, "b").filter(possible("n_a", "n_b", rule)).select("a", "b")
+        a, b = (sizes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+        return pairs.join(a, "a").join(b, "b").filter(possible(rule)).select("a", "b")
 
     stars = stage(sized(shared.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()), "shingle-stars")
-    links = stage(verified(stars, docs, rule), "shingle-links")
-    reached = components(links)
+    links = stage(verified(stars, docs, rule, scratch), "shingle-links")
+    reached = components(links, scratch)
 
     label = F.coalesce("component", "id").alias("component")
     placed = shared.filter("members > 2").join(reached.withColumnRenamed("node", "id"), "id", "left").select("key", "id", label)
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     rest = stage(placed.join(mixed, "key").join(sizes, "id").select("key", "id", "component", "n", "sketch"), "shingle-rest")
+    scratch.drop(shared)
     more = stage(block_pairs(rest, rule).join(stars, ["a", "b"], "left_anti"), "shingle-more")
-    links = stage(links.union(verified(more, docs, rule)), "shingle-all")
-    reached = components(links)
+    scratch.drop(rest)
+    links = stage(links.union(verified(more, docs, rule, scratch)), "shingle-all")
+    reached = components(links, scratch)
 
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
-    classes = nodes.join(reached.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left")
-    classes = classes.select("whole", "n", F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = made.select("doc_id", "n", "whole").join(classes, ["whole", "n"], "left")
+    grouped = nodes.join(reached.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left")
+    grouped = grouped.select("whole", "n", F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = made.select("doc_id", "n", "whole").join(grouped, ["whole", "n"], "left")
     own = F.when(F.col("n") > 0, F.least("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    made = out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return scratch.keep(made, "shingle-join")
 
 
 def distinct_documents(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
-    """The documents without their near duplicates: of each group the smallest doc_id stays, as one row."""
-    rule = rule or Rule()
-    kept = join(docs, rule).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
-    nameless = docs.filter("doc_id is null")
-    return rows.dropDuplicates(["doc_id"]).unionByName(nameless)
+    """The documents without their near duplicates: of each group the smallest doc_id stays, as one row; null ids stay."""
+    own = join(docs, rule or Rule()).filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("rows"))
+    far = own.filter(~F.col("first")).select(F.col("doc_id").alias("_id"))
+    again = own.filter(F.col("first") & (F.col("rows") > 1)).select(F.col("doc_id").alias("_id"))
+    # Few ids leave, and few have several rows: whole texts are only sorted for those.
+    rows, same = docs.join(far, F.col("doc_id") == F.col("_id"), "left_anti"), F.col("doc_id") == F.col("_id")
+    return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
