@@ -254,6 +254,19 @@ pub extern "C" fn rust_raw_pick(n: u32) -> u32 {
 '''),
         ("k/dense.rs", "pub fn dense() {\n" + "".join(f"    // SAFETY: step {i}.\n    unsafe {{ step{i}() }};\n" for i in range(10)) + "}\n"),
     ],
+    "chain": [("k/chain.rs", """// Ported from chain.cc.
+pub fn far(buf: &mut Buf) -> u32 {
+    let a = buf.as_mut_ptr();
+    let b = a.cast::<u8>();
+    let c = b.add(1);
+    let d = c.offset(2);
+    let e = d.cast::<u32>();
+    let f = e.add(3);
+    // SAFETY: the buffer is long enough.
+    let g = unsafe { &mut *f };
+    g.touch()
+}
+""")],
     "lookup": [("k/dial.rs", "pub fn dial_turn(n: u32) -> u32 {\n    let raw = sense(n);\n    settle(raw);\n    scale(raw)\n}\n")],
 }
 

@@ -82,6 +82,11 @@ def test_lints(report):
     ]
 
 
+def test_pointers_are_followed_through_any_number_of_lets(report):
+    (found,) = report.lints.filter("change_id = 'chain' AND kind = 'invented-lifetime'").collect()
+    assert found.line == 10
+
+
 def test_unchanged_cpp_is_found(report):
     (pair,) = pairs(report, "lookup").values()
     assert pair.origin == "unchanged" and pair.c_path == "k/dial.cc"
