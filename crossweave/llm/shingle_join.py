@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from . import texts as T
 from .components import components
 from .scratch import Scratch
@@ -374,8 +375,8 @@ def join(docs: DataFrame, rule: Rule) -> DataFrame:
 def distinct_documents(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     """The documents without their near duplicates: of each group the smallest doc_id stays, as one row; null ids stay."""
     own = join(docs, rule or Rule()).filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("rows"))
-    far = own.filter(~F.col("first")).select(F.col("doc_id").alias("_id"))
-    again = own.filter(F.col("first") & (F.col("rows") > 1)).select(F.col("doc_id").alias("_id"))
-    # Few ids leave, and few have several rows: whole texts are only sorted for those.
+    # Written first, so that their sizes are known when the joins are planned. Whole texts are only sorted for ids with several rows.
+    far = stage(own.filter(~F.col("first")).select(F.col("doc_id").alias("_id")), "near-duplicates")
+    again = stage(own.filter(F.col("first") & (F.col("rows") > 1)).select(F.col("doc_id").alias("_id")), "repeated")
     rows, same = docs.join(far, F.col("doc_id") == F.col("_id"), "left_anti"), F.col("doc_id") == F.col("_id")
     return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
