@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossweave.llm import decontaminate, mixing, quality, shingle_join, tokens
-from crossweave.session import scratch_dir
+from crossweave.session import scratch_dir, stage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +22,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it learns from the labels of the documents at hand. Null ids are kept: they have no decision."""
     made = quality.score(docs, quality.learn(docs, _table(spark, sf_dir, "labels")))
-    low = made.filter(F.col("score") < quality.ACCEPT).select(F.col("doc_id").alias("_low")).distinct()
+    low = stage(made.filter(F.col("score") < quality.ACCEPT).select(F.col("doc_id").alias("_low")).distinct(), "low-quality")
     return docs.join(low, F.col("doc_id") == F.col("_low"), "left_anti")
 
 
@@ -61,8 +61,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     folder = f"{scratch_dir(spark)}/crossweave/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        made = stage(spark, docs, sf_dir)
+    for i, (_, step) in enumerate(STAGES):
+        made = step(spark, docs, sf_dir)
         made.write.parquet(f"{folder}/{i}")
         docs = spark.read.schema(made.schema).parquet(f"{folder}/{i}")
     return docs
