@@ -1,11 +1,13 @@
 """Toxicity: a support vector machine on a subsequence string kernel, with Nyström landmarks.
 
-Strings are windows of ``WINDOW`` letters over every word; a mark stands before a word's first letter. The kernel compares two
+Strings are windows of ``WINDOW`` letters over every word; a mark stands before a word's first letter and after its last. The kernel compares two
 windows by all their subsequences of three letters, each weighted by ``DECAY`` to the power of the stretch it covers, so an insult
 with letters left out or put in stays near. Characters that are no letters are dropped inside words and runs of single letters
 are read as one word ("i-d-i-o-t", "i d i o t"). Its normalized value is raised to ``POWER``; values below ``FLOOR`` count as none.
 
-Landmarks are word beginnings that are ``RATIO`` times as frequent in toxic documents as in others, no two of them alike. A sentence is
+Landmarks are words and word beginnings that are ``RATIO`` times as frequent in toxic documents as in others, no two of them alike.
+Beginnings of usual words that come near a landmark are kept beside them: a window nearer to one of these than to any landmark
+counts as none. A sentence is
 described by the largest kernel value with each landmark over its windows, mapped by the inverse root of the landmarks' kernel matrix
 (Nyström). The machine is trained on labelled sentences: all sentences of documents labelled 0, and of documents labelled 1 the
 one that scores highest, chosen anew in a few rounds. A logistic curve over the margin of a document's worst sentence and the
@@ -14,6 +16,9 @@ number and rate of its bad ones, fitted to the learning documents, is the score.
 Which windows can be near a landmark at all follows from the letters they hold: the kernel is bounded by the part of
 the landmark made of those letters. Windows below the bound are passed over, which changes no result.
 
+Labelled insults are mostly spelled in full. So that the machine and the curve also weigh weak values, they learn from every toxic
+document a second time, with a letter left out of or put into each of its words that begins with a landmark.
+
 The model is fitted on about ``SAMPLE`` labelled documents of each kind; of a learning document, the ``SENTENCES`` nearest the
 landmarks are used. Every document is scored over its whole text. Null, empty and other texts without a near window have the
 score of no insult. Without labels of both kinds every score is the share of label 1, or 0 if there is none.
@@ -23,6 +28,8 @@ from __future__ import annotations
 
 import itertools
 import math
+import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -37,9 +44,10 @@ from .sampling import labelled_sample, learning_rows
 WINDOW = 9
 STRIDE = 4
 DECAY = 0.6
-POWER = 4
-FLOOR = 0.7
+POWER = 1
+FLOOR = 0.5
 LANDMARKS = 32
+USUAL = 64
 ALIKE = 0.75
 RATIO = 6
 SAMPLE = 2_500
@@ -68,7 +76,10 @@ def letters(data: np.ndarray) -> np.ndarray:
 
 
 def windows(data: np.ndarray, offsets: np.ndarray):
-    """Letter codes with a mark before each word, the ends of every window in them, its text and its sentence."""
+    """Letter codes with a mark before and after each word, the ends of every window in them, its text and its sentence.
+
+    The mark before a word is also that after the word before it.
+    """
     starts, ends, first = T.spans(data, offsets, T.NOT_SPACE)
     codes = letters(data)
     held = np.flatnonzero(codes)
@@ -84,13 +95,13 @@ def windows(data: np.ndarray, offsets: np.ndarray):
     size = np.diff(np.append(lo, len(held)))
     stops = np.cumsum(_STOP[data]) if len(data) else np.zeros(0, np.int64)
     sentence = stops[at] if len(at) else at
-    text = np.full(len(held) + len(lo), MARK, np.uint8)
+    text = np.full(len(held) + len(lo) + 1, MARK, np.uint8)
     text[np.arange(len(held)) + np.repeat(np.arange(len(lo)), size) + 1] = codes[held]
     word = lo + np.arange(len(lo))
-    n = np.maximum(1, -(-(size + 1 - WINDOW) // STRIDE) + 1)
+    n = np.maximum(1, -(-(size + 2 - WINDOW) // STRIDE) + 1)
     which = np.repeat(np.arange(len(lo)), n)
     a = word[which] + STRIDE * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-    b = np.minimum(a + WINDOW, (word + size + 1)[which])
+    b = np.minimum(a + WINDOW, (word + size + 2)[which])
     return text, a, b, doc[which], sentence[which]
 
 
@@ -114,14 +125,14 @@ def norms(code: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 class Kernel:
-    """Kernel values with fixed landmarks."""
+    """Kernel values with fixed landmarks; none for windows nearer to one of the ``usual`` strings."""
 
-    def __init__(self, landmarks: list[bytes]):
+    def __init__(self, landmarks: list[bytes], usual: list[bytes] | tuple = ()):
         self.landmarks = landmarks
-        code, weight = parts(padded(landmarks))
+        code, weight = parts(padded([*landmarks, *usual]))
         norm = norms(code, weight)
-        self.table = np.zeros((1 << 15, len(landmarks)), np.float32)
-        for j in range(len(landmarks)):
+        self.table = np.zeros((1 << 15, len(code)), np.float32)
+        for j in range(len(code)):
             np.add.at(self.table[:, j], code[j], weight[j] / norm[j])
         self.known, self.near = np.zeros(1 << 24, np.uint8), np.zeros(1 << 24, np.uint8)  # bits by set of letters
         self.kept: dict[bytes, np.ndarray | None] = {}
@@ -160,6 +171,8 @@ class Kernel:
         for i in range(0, len(strings), 512):
             code, weight = parts(padded(strings[i : i + 512]))
             raw = (weight[:, None, :].astype(np.float32) @ self.table[code])[:, 0].astype(float)
+            raw, usual = raw[:, : len(self.landmarks)], raw[:, len(self.landmarks) :].max(1, initial=0)
+            raw[raw.max(1, initial=0) < usual] = 0
             # A window's norm is at least that of its subsequences taken as different ones.
             maybe = np.flatnonzero(raw.max(1, initial=0) >= (FLOOR - 1e-5) * np.sqrt((weight * weight).sum(1)))
             raw = raw[maybe] / np.maximum(norms(code[maybe], weight[maybe]), 1e-12)[:, None]
@@ -190,25 +203,25 @@ class Kernel:
         return keys // (len(data) + 1), np.maximum.reduceat(v, where, axis=0)
 
 
-def kernel_of(landmarks: list[bytes]) -> Kernel:
-    """A worker's kernel with these landmarks, kept from task to task."""
+def kernel_of(landmarks: list[bytes], usual: list[bytes]) -> Kernel:
+    """A worker's kernel with these strings, kept from task to task."""
     store = T.worker_store()
-    if store.get("kernel", (None,))[0] != landmarks:
-        store["kernel"] = (landmarks, Kernel(landmarks))
+    if store.get("kernel", (None,))[0] != (landmarks, usual):
+        store["kernel"] = ((landmarks, usual), Kernel(landmarks, usual))
     return store["kernel"][1]
 
 
 class Model:
-    """Landmarks, the weight of each one's kernel value, and the curve from a document's evidence to its score."""
+    """Landmarks, usual strings near them, the weight of each landmark's kernel value, and the curve from a document's evidence to its score."""
 
-    def __init__(self, landmarks, weights=None, bias=0.0, curve=None, constant=None):
-        self.landmarks, self.weights, self.bias, self.curve, self.constant = landmarks, weights, bias, curve, constant
+    def __init__(self, landmarks, usual=(), weights=None, bias=0.0, curve=None, constant=None):
+        self.landmarks, self.usual, self.weights, self.bias, self.curve, self.constant = landmarks, usual, weights, bias, curve, constant
 
     def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Of each text: the margin of its worst sentence, how many sentences lie beyond the lower margin, and their rate."""
         n = len(offsets) - 1
         worst, many = np.full(n, self.bias), np.zeros(n)
-        doc, x = kernel_of(self.landmarks).sentences(data, offsets)
+        doc, x = kernel_of(self.landmarks, self.usual).sentences(data, offsets)
         if len(doc):
             margin = x @ self.weights + self.bias
             np.maximum.at(worst, doc, margin)
@@ -251,19 +264,63 @@ def beginnings(rows: DataFrame) -> DataFrame:
 
 def choose(found: list[tuple[bytes, int, int]], bad: float, good: float) -> list[bytes]:
     """Strings that tell the ``bad`` words of toxic documents from the ``good`` of others, the most telling first, none like one before it."""
-    weight = {s: p * math.log(((p + 0.5) / bad) / ((n + 0.5) / good)) + 0.01 * min(len(s), 7) for s, p, n in found}
+    weight = {s: p * math.log(((p + 0.5) / bad) / ((n + 0.5) / good)) + 0.01 * len(s) for s, p, n in found}
+    return unlike(sorted(weight, key=lambda s: (-weight[s], s)), LANDMARKS)
+
+
+def unlike(strings: list[bytes], most: int, alike: float = ALIKE) -> list[bytes]:
+    """The first strings of which none is like one before it."""
     chosen: list[bytes] = []
-    for s in sorted(weight, key=lambda s: (-weight[s], s)):
-        if len(chosen) == LANDMARKS:
+    for s in strings:
+        if len(chosen) == most:
             break
         code, w = parts(padded([s, *chosen]))
         norm = norms(code, w)
-        alike = [(w[0][:, None] * w[i] * (code[0][:, None] == code[i])).sum() / norm[0] / norm[i] for i in range(1, len(code))]
-        if max(alike, default=0) < ALIKE:
+        near = [(w[0][:, None] * w[i] * (code[0][:, None] == code[i])).sum() / norm[0] / norm[i] for i in range(1, len(code))]
+        if max(near, default=0) < alike:
             chosen.append(s)
     return chosen
 
 
+def near_usual(told: DataFrame, landmarks: list[bytes], bad: float, good: float) -> list[bytes]:
+    """Beginnings at most twice as frequent in toxic documents as in others that come near a landmark, the most frequent first."""
+
+    def run(batches):
+        kernel = kernel_of(landmarks, [])
+        for batch in batches:
+            yield batch.filter(pa.array(kernel.values(batch.column(0).to_pylist()).any(1)))
+
+    plain = told.filter((F.length("string") > 0) & (F.col("good") >= 2) & (F.col("bad") / bad <= 2 * F.col("good") / good)).select("string", "good")
+    rows = plain.mapInArrow(run, "string binary, good long").orderBy(F.desc("good"), F.desc(F.length("string")), "string").limit(1024).collect()
+    return unlike([bytes(r["string"]) for r in rows], USUAL, 0.9)
+
+
+def altered(rows: DataFrame, landmarks: list[bytes]) -> DataFrame:
+    """doc_id, y, text with a letter left out of or put into every word that begins with a landmark."""
+    letter = lambda c: b"[\x80-\xff]" if c > MARK else b"[%c%c]" % (c + 64, c + 96)
+    forms = [b"".join(map(letter, z.strip(bytes([MARK])))) + (rb"(?![A-Za-z\x80-\xff])" if z[-1] == MARK else b"") for z in landmarks]
+    word = re.compile(rb"(?<![^\s])(?:" + b"|".join(forms) + rb")[A-Za-z]*")
+
+    def run(batches):
+        for batch in batches:
+            made = []
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+
+                def change(m, d=d):
+                    w = m[0]
+                    at = [i for i, c in enumerate(w) if c < 128]
+                    h = zlib.crc32(b"%d %d" % (d, m.start()))
+                    if not at:
+                        return w
+                    i = at[h // 64 % len(at)]
+                    return w[:i] + w[i + 1 :] if h & 1 else w[: i + 1] + b"%c" % (97 + h // 2**16 % 26) + w[i + 1 :]
+
+                made.append(word.sub(change, (t or "").encode()).decode("utf-8", "replace"))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(made, pa.string())], names=["doc_id", "y", "text"])
+
+    return rows.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, text string")
+
+
 def machine(x: np.ndarray, owner: np.ndarray, y: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear machine on mapped sentences; hinge loss, both classes weighing the same."""
     z = x @ root
@@ -319,9 +376,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     landmarks = choose([(bytes(r["string"]), r["bad"], r["good"]) for r in found], bad, good)
     if not landmarks:
         return Model([], constant=counts[1] / (counts[0] + counts[1]))
+    usual = near_usual(told, landmarks, bad, good)
+    used = used.select("doc_id", "y", "text").union(altered(used.filter("y = 1"), landmarks))
 
     def run(batches):
-        kernel = kernel_of(landmarks)
+        kernel = kernel_of(landmarks, usual)
         for batch in batches:
             for lo, hi, data, offsets in T.slices(batch.column(2)):
                 doc, x = kernel.sentences(data, offsets)
@@ -339,7 +398,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     value, vector = np.linalg.eigh((k + k.T) / 2)
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
     weights, bias = machine(x, owner, y, root)
-    model = Model(landmarks, weights, bias)
+    model = Model(landmarks, usual, weights, bias)
 
     def proven(batches):
         for batch in batches:

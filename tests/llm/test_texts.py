@@ -91,6 +91,27 @@ def test_toxicity_finds_altered_insults(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_finds_every_letter_left_out_or_put_in(spark):
+    rng = random.Random(8)
+    insults = "trash idiot stupid clown loser scum moron pathetic worthless disgusting blockhead nitwit".split()
+    made, labels = [], []
+    for i in range(1600):
+        w = corpus.words(rng, ("en", "fr", "de")[i % 3], 80)
+        if i % 4 == 0:
+            for _ in range(3):
+                w[rng.randrange(80)] = rng.choice(insults)
+        made.append((i, " ".join(w), "en", "s"))
+        labels.append((i, 1, int(i % 4 == 0)))
+    changed = [w[:i] + w[i + 1 :] for w in insults for i in range(len(w))] + [w[:i] + c + w[i:] for w in insults for i in range(len(w) + 1) for c in "xkoe"]
+    made += [(5000 + j, " ".join([*corpus.words(rng, "en", 20), a, a, *corpus.words(rng, "en", 20)]), "en", "s") for j, a in enumerate(changed)]
+    docs = corpus.table(spark, made)
+    model = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert [a for j, a in enumerate(changed) if got[5000 + j] < toxicity.ACCEPT] == []
+    right = [(got[i] >= toxicity.ACCEPT) == (i % 4 == 0) for i in range(1600) if held(i)]
+    assert sum(right) / len(right) > 0.99
+
+
 def test_kernel_against_brute_force():
     from itertools import combinations
 
