@@ -1,8 +1,9 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page is cut into blocks at every tag that is not inline. Each block has its number of words, its link density (the share of
-its words inside links), the same of the blocks before and after it, and where it stands: inside an article, inside something
-that is named or tagged as page furniture, or neither. A tree grown from a small labelled table of such blocks keeps or drops each one.
+its words inside links), the same of the blocks before and after it, and where it stands: inside an article, inside a tag of page
+furniture or readers' comments, inside something whose class, id or role names furniture, or none of these. Such a name is no verdict: long
+blocks with few links under it are text, and short ones between them; a word after "has", "no" and the like names nothing. A tree grown from a small labelled table of such blocks keeps or drops each one.
 Kept blocks are joined in page order.
 
 Scripts, styles, comments, the head and form controls are no text. Character references are decoded, white space within a block
@@ -31,8 +32,9 @@ NAMES = frozenset(
     "related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split()
 )
 LASTING = frozenset("comment comments disqus replies reply respond".split())
+MODIFIERS = frozenset("has have no not non with without hide hides show shows open closed".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-PLACES = {"none": 0, "article": 1, "furniture": 2}
+PLACES = {"none": 0, "article": 1, "named": 2, "furniture": 3}
 
 #: Labelled blocks: words, link density, the same of the block before and after, place, and whether the block is main text.
 TABLE = (
@@ -42,7 +44,15 @@ TABLE = (
     (2, 0.5, 60, 0.0, 9, 1.0, "article", 1), (30, 0.0, 6, 1.0, 12, 0.0, "article", 1), (6, 0.0, 9, 0.0, 5, 0.0, "article", 1),
     (400, 0.01, 10, 0.0, 7, 1.0, "article", 1), (5, 1.0, 80, 0.0, 60, 0.0, "article", 1), (1, 0.0, 0, 0.0, 0, 0.0, "article", 1),
     (4, 1.0, 10, 0.0, 50, 0.0, "article", 1), (3, 1.0, 5, 1.0, 30, 0.0, "article", 1),
-    # Menus, footers, sidebars, notices, adverts, forms and readers' comments.
+    # Under names of furniture: notices, teasers, bylines and links are none; long link-poor blocks are text, and short ones between them.
+    (45, 0.0, 50, 0.0, 60, 0.0, "named", 1), (120, 0.0, 10, 0.0, 60, 0.0, "named", 1), (300, 0.02, 0, 0.0, 0, 0.0, "named", 1),
+    (60, 0.1, 2, 1.0, 3, 1.0, "named", 1), (80, 0.0, 0, 0.0, 5, 0.0, "named", 1), (50, 0.0, 1, 1.0, 40, 0.0, "named", 1),
+    (8, 0.0, 60, 0.0, 55, 0.0, "named", 1), (3, 0.0, 80, 0.0, 90, 0.0, "named", 1), (20, 0.0, 50, 0.0, 45, 0.0, "named", 1),
+    (1, 1.0, 1, 1.0, 1, 1.0, "named", 0), (9, 0.0, 1, 1.0, 12, 0.0, "named", 0), (12, 0.0, 60, 0.0, 0, 0.0, "named", 0),
+    (25, 0.2, 3, 0.0, 25, 0.2, "named", 0), (30, 0.0, 2, 0.0, 3, 0.0, "named", 0), (15, 0.0, 0, 0.0, 80, 0.0, "named", 0),
+    (60, 0.7, 3, 1.0, 5, 1.0, "named", 0), (4, 0.5, 90, 0.0, 1, 1.0, "named", 0), (2, 0.0, 12, 0.0, 3, 0.0, "named", 0),
+    (25, 0.0, 90, 0.0, 4, 1.0, "named", 0), (7, 1.0, 60, 0.0, 50, 0.0, "named", 0),
+    # Tags of menus, footers, sidebars and forms, and readers' comments.
     (1, 1.0, 1, 1.0, 1, 1.0, "furniture", 0), (1, 1.0, 0, 0.0, 1, 1.0, "furniture", 0), (9, 0.0, 1, 1.0, 12, 0.0, "furniture", 0),
     (12, 0.0, 60, 0.0, 0, 0.0, "furniture", 0), (50, 0.0, 40, 0.0, 3, 0.0, "furniture", 0), (4, 0.5, 90, 0.0, 1, 1.0, "furniture", 0),
     (120, 0.0, 10, 0.0, 60, 0.0, "furniture", 0), (2, 0.0, 12, 0.0, 3, 0.0, "furniture", 0), (25, 0.2, 3, 0.0, 25, 0.2, "furniture", 0),
@@ -70,9 +80,16 @@ def place_of(tag: str, attributes: str, outer: tuple[int, bool]) -> tuple[int, b
     if tag in FURNITURE:
         return (PLACES["furniture"], True)
     if attributes and tag not in ("body", "html"):
-        names = {w.lower() for m in _NAMED.finditer(attributes) for w in _WORD.findall(m[1] or m[2] or m[3] or "")}
+        names = set()
+        for m in _NAMED.finditer(attributes):
+            for token in (m[1] or m[2] or m[3] or "").split():
+                own = [w.lower() for w in _WORD.findall(token)]
+                if not MODIFIERS.intersection(own):
+                    names.update(own)
+        if names & LASTING:
+            return (PLACES["furniture"], True)
         if names & NAMES:
-            return (PLACES["furniture"], bool(names & LASTING))
+            return (PLACES["named"], False)
     return (PLACES["article"], False) if tag in ("article", "main") else outer
 
 
@@ -142,8 +159,14 @@ def features(shape: list[tuple[int, float, int]]) -> np.ndarray:
 
 
 def tree(table=TABLE) -> Node:
+    """Divides by place first, so that each place weighs words and links on its own."""
     rows = np.array([(*r[:6], PLACES[r[6]], r[7]) for r in table], float)
-    return grow(rows[:, :7], rows[:, 7])
+    node = None
+    for place in sorted(set(rows[:, 6]), reverse=True):
+        own = rows[rows[:, 6] == place]
+        low = grow(own[:, :7], own[:, 7])
+        node = low if node is None else Node(float(rows[rows[:, 6] >= place, 7].mean()), 6, place + 0.5, low, node)
+    return node
 
 
 def main_text(page: str, model: Node) -> str:

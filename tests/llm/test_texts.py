@@ -191,6 +191,24 @@ def test_main_text(spark):
     assert got[None]["text"] == "" and maintext.extract(pages.limit(0)).count() == 0
 
 
+def test_names_of_furniture_are_no_verdict():
+    model, first, second = maintext.tree(), ("word " * 70).strip(), ("other " * 55).strip()
+    text = f"<h2>A heading</h2><p>{first}</p><h3>Another one</h3><p>{second}</p>"
+    whole = f"A heading {first} Another one {second}"
+    bar = "<ul><li><a href=x>More</a></li><li><a href=y>Links</a></li></ul>"
+    for name in ("class='has-sidebar'", 'class="content no-header"', "class=with-comments", "id=noSidebar", "class='post comments-open'"):
+        assert maintext.main_text(f"<div {name}>{text}</div>{bar}", model) == maintext.main_text(f"<div class=plain>{text}</div>{bar}", model) != ""
+    for name in ("class='post tags-linux'", "class='related-work'", "id='notice-period'", "class=sidebar"):
+        got = maintext.main_text(f"<div {name}>{text}</div>{bar}", model)
+        assert first in got and second in got and "Another one" in got and "Links" not in got
+    for name in ("class='related-work'", "id='notice-period'"):
+        assert maintext.main_text(f"<article><p>{second}</p><section {name}><p>{first}</p><p>{second}</p></section></article>", model) == f"{second} {first} {second}"
+    for name in ("related", "cookie-notice", "share-bar", "newsletter"):
+        short = f"<div class={name}><p>See what others read today</p>{bar}</div>"
+        assert maintext.main_text(f"<article>{text}{short}</article>", model) == whole
+    assert maintext.main_text(f"<article>{text}<div class=comments><p>{first} {second}</p></div></article>", model) == whole
+
+
 def test_tree_fits_its_table():
     import numpy as np
 
