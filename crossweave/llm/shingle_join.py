@@ -18,9 +18,13 @@ enough to be sent to all tasks. The order keeps shingles that unlike texts share
 Equal sets are one node. Under each key, the smallest node is the leader: every other is first compared with its leader only
 (one pair a row, never all pairs of a key). Where a key then still holds several components, members of different components are
 compared in blocks by sizes and by parity sketches, which bound how many shingles two sets can differ in; pairs that may be
-alike go on to the exact comparison. So no link between components is lost, and copies are never expanded into all pairs.
+alike go on to the exact comparison. So no link between components is lost, and copies are never expanded into pairs.
 
-Results: one row a document with the size of its set and its component, the smallest doc_id reachable by links. Null and
+For the number of links the remaining pairs that share a key are compared too, those within one component included; this costs the
+square of a group's size in pairs. ``join(count=False)`` leaves it out.
+
+Results: one row a document with the size of its set, its component (the smallest doc_id reachable by links) and how many other
+rows with an id are linked to it, copies included. Null and
 empty texts have no set and are linked with nothing. Documents with fewer than ``k`` words have one shingle, all their words.
 Repeated rows of a doc_id are repeated in the result. Rows with a null doc_id take the component of the other
 rows with their set, or null.
@@ -328,15 +332,15 @@ def block_pairs(members: DataFrame, rule: Rule) -> DataFrame:
     return dealt.select("key", "p", "q", "block", "id", "component", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (verified links of the document's class) of every document."""
+def join(docs: DataFrame, rule: Rule, count: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id and, with ``count``, n_links (other rows with an id and an alike set) of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scratch = Scratch()
     stage = scratch.stage
     whole = stage(index(docs, rule, classes(docs, rule, scratch)), "shingle-index")
     made = stage(whole.select("doc_id", "n", "whole"), "shingle-sets")
     known = whole.filter("n > 0 and doc_id is not null")
-    nodes = stage(known.groupBy("whole", "n").agg(F.min("doc_id").alias("id")), "shingle-nodes")
+    nodes = stage(known.groupBy("whole", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "shingle-nodes")
     alone = nodes.select(F.col("id").alias("doc_id"), "whole", "n")
     first = stage(known.join(alone, ["doc_id", "whole", "n"], "left_semi").select("doc_id", "n", "sketch", "keys"), "shingle-first")
     scratch.drop(whole)
@@ -357,24 +361,35 @@ def join(docs: DataFrame, rule: Rule) -> DataFrame:
     placed = shared.filter("members > 2").join(reached.withColumnRenamed("node", "id"), "id", "left").select("key", "id", label)
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     rest = stage(placed.join(mixed, "key").join(sizes, "id").select("key", "id", "component", "n", "sketch"), "shingle-rest")
-    scratch.drop(shared)
+    if not count:
+        scratch.drop(shared)
     more = stage(block_pairs(rest, rule).join(stars, ["a", "b"], "left_anti"), "shingle-more")
     scratch.drop(rest)
     links = stage(links.union(verified(more, docs, rule, scratch)), "shingle-all")
     reached = components(links, scratch)
 
-    degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
-    grouped = nodes.join(reached.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left")
-    grouped = grouped.select("whole", "n", F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    grouped = nodes.join(reached.withColumnRenamed("node", "id"), "id", "left").select("id", "whole", "n", "copies", F.coalesce("component", "id").alias("component"))
+    if count:
+        # Every other pair that shares a key (of two members, one is the leader): as components of their own, members of one component meet too.
+        every = stage(shared.filter("members > 2").join(sizes, "id").select("key", "id", F.col("id").alias("component"), "n", "sketch"), "shingle-every")
+        scratch.drop(shared)
+        inner = stage(block_pairs(every, rule).join(stars.union(more), ["a", "b"], "left_anti"), "shingle-inner")
+        scratch.drop(every)
+        links = stage(links.union(verified(inner, docs, rule, scratch)), "shingle-counted")
+        ends = links.select(F.col("a").alias("id"), F.col("b").alias("to")).union(links.select("b", "a"))
+        degree = ends.join(nodes.select(F.col("id").alias("to"), "copies"), "to").groupBy("id").agg(F.sum("copies").alias("alike"))
+        grouped = grouped.join(degree, "id", "left").withColumn("alike", F.coalesce("alike", F.lit(0)) + F.col("copies"))
     out = made.select("doc_id", "n", "whole").join(grouped, ["whole", "n"], "left")
     own = F.when(F.col("n") > 0, F.least("component", "doc_id")).otherwise(F.col("doc_id"))
-    made = out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return scratch.keep(made, "shingle-join")
+    found = [F.col("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id")]
+    if count:
+        found.append(F.coalesce(F.col("alike") - F.col("doc_id").isNotNull().cast("long"), F.lit(0)).cast("long").alias("n_links"))
+    return scratch.keep(out.select(*found), "shingle-join")
 
 
 def distinct_documents(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     """The documents without their near duplicates: of each group the smallest doc_id stays, as one row; null ids stay."""
-    own = join(docs, rule or Rule()).filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("rows"))
+    own = join(docs, rule or Rule(), count=False).filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("rows"))
     # Written first, so that their sizes are known when the joins are planned. Whole texts are only sorted for ids with several rows.
     far = stage(own.filter(~F.col("first")).select(F.col("doc_id").alias("_id")), "near-duplicates")
     again = stage(own.filter(F.col("first") & (F.col("rows") > 1)).select(F.col("doc_id").alias("_id")), "repeated")

@@ -64,6 +64,22 @@ def test_shingle_join_against_brute_force(spark, monkeypatch):
         assert none([tuple(r)[:3] for r in got.collect()]) == none(brute_groups(made, rule))
 
 
+def test_links_are_counted_by_brute_force(spark, monkeypatch):
+    rng = random.Random(4)
+    base = corpus.words(rng, "en", 120)
+    made = [(1000 + i, " ".join(base[:i] + [f"w{i}"] + base[i + 1 :]), "en", "s") for i in range(60)]  # all alike, all different
+    made += [(2000 + i, made[5][1], "en", "s") for i in range(4)] + family(rng, 3000, 30, 60) + corpus.rows(n=20)
+    for name, value in (("SLICE_LEAST", 2), ("FREQUENT", 5), ("BLOCK", 16), ("MEMBERS", 8)):
+        monkeypatch.setattr(shingle_join, name, value)
+    rule = shingle_join.Rule(3, 9, 10)
+    sets, want = sets_of(made, rule.k), []
+    for i, (d, *_) in enumerate(made):
+        alike = [len(sets[i] & s) for s in sets]
+        want.append((d is None, d or 0, sum(bool(n) and j != i and made[j][0] is not None and rule.den * n >= rule.num * (len(sets[i]) + len(sets[j]) - n) for j, n in enumerate(alike))))
+    got = [(r["doc_id"] is None, r["doc_id"] or 0, r["n_links"]) for r in shingle_join.join(corpus.table(spark, made), rule).collect()]
+    assert sorted(got) == sorted(want) and max(n for *_, n in want) >= 63
+
+
 def test_prefix_keys_meet():
     """Alike sets share a key whatever the frequent class is."""
     rng = np.random.default_rng(2)
