@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, maintext, mixing, neighbours, quality, shingle_join, tokens, toxicity
+from . import decontaminate, filter_audit, impact_index, langid, licenses, maintext, mixing, neighbours, periodic_runs, quality, shingle_join, tokens, toxicity
 from . import texts as T
 
 QUERIES, ORACLES = {}, {}
@@ -80,3 +80,25 @@ def op10(spark, folder):
     docs = table(spark, folder, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     made = langid.predict(docs, langid.learn(docs))
     return made.select("doc_id", T.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op11_exact_top_k", impact_index.sql())
+def op11(spark, folder):
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return impact_index.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+@query("op12_periodic_runs")
+def op12(spark, folder):
+    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), periodic_runs.planted(F.col("doc_id"), F.col("text")).alias("text"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return periodic_runs.find(docs, ["doc_id"]).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "strongest.start", "strongest.length", "strongest.period",
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_filter_audit", filter_audit.sql())
+def op13(spark, folder):
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
