@@ -168,6 +168,8 @@ def runs(values: np.ndarray, least: int = LEAST, periods: int = PERIODS) -> list
             right, left = _extensions(sums, back, i, i + root[i])
             period, length = root[i], left + right + root[i]
             good = (length >= least) & (length >= periods * period)
+            if not good.any():
+                continue
             extents, number = np.unique(np.stack([(i - left)[good], length[good], period[good]], 1), axis=0, return_inverse=True)
             roots, cuts = i[good][np.argsort(number.ravel(), kind="stable")], np.cumsum(np.bincount(number.ravel(), minlength=len(extents)))
             for (first, long, q), own in zip(extents.tolist(), np.split(roots, cuts[:-1]), strict=True):
