@@ -49,7 +49,7 @@ def op4(spark, folder):
 
 @query("op5_ngram_jaccard")
 def op5(spark, folder):
-    return shingle_join.join(table(spark, folder, "documents"), shingle_join.Rule(3, 9, 10))
+    return shingle_join.join(table(spark, folder, "documents"), shingle_join.Rule(3, 9, 10), count=False)
 
 
 @query("op6_quality")
