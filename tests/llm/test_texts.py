@@ -209,6 +209,79 @@ def test_names_of_furniture_are_no_verdict():
     assert maintext.main_text(f"<article>{text}<div class=comments><p>{first} {second}</p></div></article>", model) == whole
 
 
+def test_words_links_and_places_decide_together():
+    import numpy as np
+
+    model, long, other = maintext.tree(), ("word " * 70).strip(), ("other " * 55).strip()
+    links = "<ul><li><a href=x>More here</a></li><li><a href=y>Links</a></li><li><a href=z>Still more</a></li></ul>"
+    text = f"<article><p>{long}</p>{links}<p>{other}</p></article>"
+    assert maintext.main_text(text, model) == f"{long} {other}"
+    found, shape = maintext.blocks(text)
+    flat = [(n, 0.0, place) for n, _, place in shape]  # without link densities the list would stay
+    assert decisions.decide(model, maintext.features(flat)).all() and not decisions.decide(model, maintext.features(shape)).all()
+    boxed = maintext.blocks(f"<aside><p>{long}</p><p>{long}</p></aside>")[1]
+    assert decisions.decide(model, maintext.features(boxed)).all() and not decisions.decide(model, maintext.features([(3, 0.0, p) for _, _, p in boxed])).any()
+    # An article in a form; long paragraphs in boxes and footers, short ones beside them; readers' comments of any length.
+    assert maintext.main_text(f"<form><article><h1>Head</h1><p>{long}</p></article><p>Send it</p></form>", model) == f"Head {long}"
+    assert maintext.main_text(f"<aside><p>{long}</p><p>{long}</p></aside><aside><p>Buy now</p></aside>", model) == f"{long} {long}"
+    huge = ("huge " * 260).strip()
+    assert maintext.main_text(f"<footer><p>{huge}</p><p>{huge}</p></footer><footer>By us</footer>", model) == f"{huge} {huge}"
+    assert maintext.main_text(f"<div class='comments'><p>{huge}</p><p>{huge}</p></div>", model) == ""
+    assert maintext.main_text(f"<div class='comment-free'><p>{long}</p></div>", model) == long
+    rows = np.array([(*r[:6], maintext.PLACES[r[6]], r[7]) for r in maintext.TABLE], float)
+    assert all({0, 1} == set(rows[rows[:, 6] == p, 7]) for name, p in maintext.PLACES.items() if name != "comments")
+
+
+def test_blocks_against_a_plain_reading():
+    """The parser against one that reads signs one by one, on random pieces of markup."""
+    rng = random.Random(8)
+    parts = ["<p>", "</p>", "<div class='a > b'>", "</div>", "<a href=x>", "</a>", "<br>", "<b>", "</b>", "text ", "more words ", "<x y='", "'>", '"', " = ", "<!-- c -->", "&amp;", "<img src=\"a>b\">", "</", "<", "1 < 2 "]
+
+    def plain(page):
+        out, word, i = [], "", 0
+        while i < len(page):
+            if page.startswith("<!--", i):
+                end = page.find("-->", i + 4)
+                i = len(page) if end < 0 else end + 3
+                continue
+            name = re.match(r"</?([a-zA-Z][a-zA-Z0-9:-]*)", page[i:])
+            if page[i] != "<" or not name:
+                word, i = word + page[i], i + 1
+                continue
+            j, quote, value = i + name.end(), None, False
+            while j < len(page) and (quote or page[j] != ">"):
+                if quote:
+                    quote = None if page[j] == quote else quote
+                elif value and page[j] in "\"'":
+                    quote, value = page[j], False
+                elif page[j] == "=":
+                    value = True
+                elif not page[j].isspace():
+                    value = False
+                j += 1
+            if j >= len(page):
+                break
+            if name[1].lower() not in maintext.INLINE:
+                out, word = [*out, word], ""
+            i = j + 1
+        import html
+        return [t for t in (" ".join(html.unescape(x).split()) for x in [*out, word]) if t]
+
+    for _ in range(3000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        assert maintext.blocks(page)[0] == plain(page), page
+
+
+def test_pages_take_linear_time():
+    import time
+
+    model = maintext.tree()
+    for bad in ("<a '" * 250_000, "<div>" * 80_000 + "</p>" * 80_000, "<div>" * 80_000 + "</section>" * 50_000, '<a b="' * 170_000, "<!-- " * 200_000):
+        begin = time.process_time()
+        maintext.main_text(bad, model)
+        assert time.process_time() - begin < 10, bad[:9]
+
+
 def test_tree_fits_its_table():
     import numpy as np
 
