@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLICE = 1 << 20
+CHUNK = 1 << 18
 SPACES = b" \t\n\x0b\x0c\r"
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -79,10 +80,11 @@ def worker_store() -> dict:
 
 
 def _power(base: int, n: int) -> np.ndarray:
+    """The first n powers of a base, ``CHUNK`` + 1 at most."""
     store = worker_store()
     have = store.get(f"power {base}")
-    if have is None or len(have) < n:
-        steps = np.full(max(n, SLICE + 1), base, np.uint64)
+    if have is None:
+        steps = np.full(CHUNK + 1, base, np.uint64)
         steps[0] = 1
         store[f"power {base}"] = have = np.multiply.accumulate(steps)
     return have[:n]
@@ -96,10 +98,28 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span; equal spans have equal hashes wherever they stand."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _power(_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each span; equal spans have equal hashes wherever they stand.
+
+    Spans stand in order and apart. They are hashed in chunks of the data, so memory beside the result is small for texts of any length.
+    """
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        a = int(starts[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, a + CHUNK, "right")))
+        b = int(ends[hi - 1])
+        if b - a > CHUNK:  # one word longer than a chunk
+            whole = 0
+            for c in range(a, b, CHUNK):
+                part = data[c : min(c + CHUNK, b)]
+                whole += int((_BYTE[part] * _power(_BASE, len(part))).sum(dtype=np.uint64)) * pow(_BASE, c - a, 2**64)
+            out[lo] = whole % 2**64
+        else:
+            sums = np.zeros(b - a + 1, np.uint64)
+            np.cumsum(_BYTE[data[a:b]] * _power(_BASE, b - a), out=sums[1:])
+            out[lo:hi] = (sums[ends[lo:hi] - a] - sums[starts[lo:hi] - a]) * _power(_INVERSE, b - a + 1)[starts[lo:hi] - a]
+        lo = hi
+    return mix(out + (ends - starts).astype(np.uint64))
 
 
 def per_text(docs: DataFrame, columns: list[str], schema: str, work: Callable) -> DataFrame:
