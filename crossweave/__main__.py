@@ -50,17 +50,28 @@ def main(argv: list[str] | None = None) -> int:
 def run(args) -> int:
     spark = local_session()
     opts = Options(min_changed=args.min_changed, context=args.context, issues_only=args.issues_only, summary=args.summary, layout=args.layout, width=args.width)
-    repo = None
+    repo = title = None
     if args.mode == "files":
         rows = [("change", p, open(p, encoding="utf-8", errors="replace").read()) for p in args.paths]
         versions = file_source.versions_of_files(spark.createDataFrame(rows, "change_id string, path string, text string"))
     elif args.mode == "patch":
-        raw = sys.stdin.read() if args.file in (None, "-") else open(args.file, encoding="utf-8", errors="replace").read()
-        versions = patch.versions_of_patches(spark.createDataFrame([("change", raw)], "change_id string, text string"))
+        piped = args.file in (None, "-")
+        raw = sys.stdin.read() if piped else open(args.file, encoding="utf-8", errors="replace").read()
+        patches, blobs = spark.createDataFrame([("change", raw)], "change_id string, text string"), None
+        title = patch.title(patches).first()["title"] or ("patch from standard input" if piped else args.file)
+        if args.repo and gitrepo.is_repo(args.repo):
+            # Whole texts where the repository has them; the hunks stand in for the others.
+            where = os.path.abspath(args.repo)
+            blobs = gitrepo.blobs(patch.blob_ids(patches).select(F.lit(where).alias("repo"), "id"))
+            if not args.no_search:
+                base = args.base or "HEAD"
+                repo = gitrepo.repo_files(spark.createDataFrame([("change", where, base, base)], "change_id string, repo string, base string, head string"))
+        versions = patch.versions_of_patches(patches, blobs)
     else:
         base, head = gitrepo.split_range(args.rev)
         ranges = spark.createDataFrame([("change", os.path.abspath(args.repo), args.base or base, head)], "change_id string, repo string, base string, head string")
         versions = gitrepo.versions_of_ranges(ranges)
+        title = gitrepo.subject(args.repo, args.rev) or args.rev
         repo = None if args.no_search else gitrepo.repo_files(ranges)
     wanted = [("change", *p.split("=", 1)) for p in args.pair]
     forced = spark.createDataFrame(wanted, "change_id string, cpp_name string, rust_name string") if wanted else None
@@ -75,6 +86,8 @@ def run(args) -> int:
         out = text.report_lines(report, opts).orderBy("ord").select(F.col("line").alias("s"))
     target = open(args.output, "w", encoding="utf-8") if args.output else sys.stdout
     try:
+        if title and args.format == "text":
+            print(title, file=target)
         for row in out.toLocalIterator():
             print(row["s"], file=target)
     except BrokenPipeError:

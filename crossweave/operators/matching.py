@@ -149,13 +149,6 @@ def contained_runs(
     return hits.join(total, [*within, *nid]).filter(F.col("runs_found") >= share * F.col("runs_total"))
 
 
-def name_or_base(sources: DataFrame, name: str, base: str, wanted: DataFrame, key: str, out: str, ix: str) -> DataFrame:
-    """The first row, by ``ix``, whose name or base is what a request names."""
-    named = sources.select(F.explode(F.array_distinct(F.array(name, base))).alias(key), ix, "change_id")
-    first = named.join(wanted.select("change_id", key).distinct(), ["change_id", key], "left_semi")
-    return first.groupBy("change_id", key).agg(F.min(ix).alias(out))
-
-
 def rank_within(df: DataFrame, group: list[str], order: list[Column], k: int, out: str = "rank") -> DataFrame:
     """The first ``k`` rows per group in ``order``; ties go by the order's last key."""
     w = Window.partitionBy(*group).orderBy(*order)

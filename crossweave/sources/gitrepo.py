@@ -99,5 +99,46 @@ def repo_files(ranges: DataFrame, folder: str | None = None) -> DataFrame:
     return spread.mapInPandas(_show_batches, "change_id string, path string, text string")
 
 
+def _blob_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Asks one ``cat-file --batch`` process for each repository; it lives as long as the partition's rows last."""
+    asked: dict[str, subprocess.Popen] = {}
+    try:
+        for pdf in batches:
+            texts = []
+            for r in pdf.itertuples(index=False):
+                if r.repo not in asked:
+                    git(r.repo, "rev-parse", "--git-dir")
+                    asked[r.repo] = subprocess.Popen(["git", "-C", r.repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+                texts.append(_ask(asked[r.repo], r.blob))
+            yield pdf.assign(text=texts)
+    finally:
+        for process in asked.values():
+            process.stdin.close()
+            process.wait()
+
+
+def _ask(process: subprocess.Popen, blob: str) -> str | None:
+    process.stdin.write(f"{blob}\n".encode())
+    process.stdin.flush()
+    head = process.stdout.readline().decode(errors="replace").split()
+    if not head:
+        raise RuntimeError(f"git cat-file ended at {blob}")
+    if len(head) < 3 or not head[2].isdigit():  # missing or ambiguous
+        return None
+    content = process.stdout.read(int(head[2]))
+    process.stdout.read(1)
+    return content.decode(errors="replace") if head[1] == "blob" else None
+
+
+def blobs(asks: DataFrame) -> DataFrame:
+    """repo, id and text of the blobs of a table of ``repo, id``; ids may be abbreviated.
+
+    A blob that the repository does not hold has no text: a patch names both sides, and its new one exists only once it is
+    applied. A repository that can't be read is an error.
+    """
+    asked = asks.select("repo", F.col("id").alias("blob")).distinct().repartition("repo", "blob")
+    return asked.mapInPandas(_blob_batches, "repo string, blob string, text string").select("repo", F.col("blob").alias("id"), "text")
+
+
 def subject(repo: str, rev: str) -> str:
     return git(repo, "log", "-1", "--format=%s", split_range(rev)[1]).strip()

@@ -7,8 +7,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from crossweave.functions import seqs
-from crossweave.functions.values import evaluate
-from crossweave.operators import matching
+from crossweave.functions.values import evaluate, literal
+from crossweave.operators import hierarchy, matching
 from crossweave.operators.align import align_units, lcs_share, unit_similarity
 from crossweave.operators.demangle import readable
 from crossweave.operators.runs import Ordered
@@ -16,6 +16,18 @@ from crossweave.operators.scan import scan_text
 from crossweave.sources.patch import fill_gaps, patch_rows
 
 
+def test_integer_literals_of_both_languages():
+    values = {
+        "7": 7, "1_000": 1000, "0x1F": 31, "0XfF": 255, "0b101": 5, "010": 10,
+        "7u": 7, "7UL": 7, "0xFFull": 255, "8z": 8, "10u32": 10, "0xFFu8": 255, "3usize": 3, "5_i64": 5, "0x1_0_u64": 16,
+    }
+    for text, value in values.items():
+        assert literal(text) == value and evaluate(text, {}) == value, text
+    for text in ("0x", "12ab", "0b12", "u32", "_", "1.5", "7u33"):
+        assert literal(text) is None, text
+    assert evaluate("(10u32 << 2) | BIT(0) as u64", {}) == 41 and evaluate("a :: kB + 1", {"B": 2}) == 3
+
+
 def sequential_greedy(edges):
     used_l, used_r, out = set(), set(), []
     for e in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
@@ -160,3 +172,21 @@ def test_generics_of_any_depth(spark):
     texts = ["a<b>::c", "a<b<c<d<e<f<g>>>>>>::h", "plain", "a<b", "a::<X<Y>>(z)", "x->y", "a<b>c<d>e", ""]
     rows = spark.createDataFrame([(x,) for x in texts], "t string").select(strip_generics(F.col("t"))).collect()
     assert [r[0] for r in rows] == ["a::c", "a::h", "plain", "a", "a::(z)", "x->y", "ace", ""]
+
+
+def test_ancestors_by_doubling(spark):
+    rng = random.Random(11)
+    edges = [(i, i + 1) for i in range(70)] + [(100, 101), (101, 102), (102, 100), (103, 100), (5, 5)]  # a chain, a circle, itself
+    edges += [(200 + i, 200 + rng.randrange(40)) for i in range(40) for _ in range(2)]
+    want, out = set(), {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    for start in out:
+        near, seen, d = {start}, {start}, 0
+        while near:
+            d += 1
+            near = {y for x in near for y in out.get(x, ())} - seen
+            seen |= near
+            want |= {(start, y, d) for y in near}
+    got = hierarchy.ancestors(spark.createDataFrame(edges, "a int, b int"), [], "a", "b").select("cls", "ancestor", "distance").collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
