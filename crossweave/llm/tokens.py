@@ -11,10 +11,12 @@ file. Null ids come first and equal ids are ordered by text. A null text is empt
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,10 @@ from . import texts as T
 
 LENGTH = 1024
 END = 2
-#: Sequences in a batch of a file; pieces of text whose ids a worker keeps.
+#: Sequences in a batch of a file; pieces of text whose ids a worker keeps, of those met again and of those met once.
 BATCH = 512
-KEPT = 300_000
+KEPT = 200_000
+FRESH = 100_000
 
 _PAIR = re.compile(r"\s ")
 _CUT = re.compile(r"(?<!\s)(?= )")
@@ -44,12 +47,15 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids of whole texts.
+    """Ids of whole texts, as the tokenizer's plain call gives them.
 
-    A blank after a character that is none always begins a new piece of the tokenizer's pre-tokenization, so texts are cut there
-    and the ids of frequent pieces are kept. A piece that is not kept is cut further where pre-tokenization certainly
-    cuts: after a letter before a mark, before white space, after a lone line end. What remains as letters alone goes to the tokenizer's model
-    directly, anything else through the whole tokenizer.
+    Texts are first cut at the literals of added tokens, as the tokenizer does. A blank after a character that is none always
+    begins a new piece of its pre-tokenization, so what lies between is cut there and the ids of pieces are kept. Pieces met in one
+    call only are forgotten when there are ``FRESH`` of them; ``KEPT`` of those met again stay. A piece that is not kept is cut further
+    where pre-tokenization certainly cuts: after a letter before a mark, before white space, after a lone line end. What remains as
+    letters alone goes to the tokenizer's model directly, anything else through the whole tokenizer.
+
+    Pieces are kept by what follows their leading blank; a text's first piece, which has none, as a tuple.
     """
 
     def __init__(self, path: str):
@@ -57,39 +63,101 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.kept: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        if _PAIR.search(text) or text[:1] == " ":
-            return [x for x in _CUT.split(text) if x]
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = re.compile("|".join(re.escape(t.content) for t in added)) if added else None
+        self.kept: dict = {}
+        self.fresh: set = set()
+
+    def pieces(self, text: str) -> tuple[str, list[str]]:
+        """The first piece, and the others without their leading blanks."""
+        if _PAIR.search(text):
+            first, *rest = _CUT.split(text)
+            return (first, [x[1:] for x in rest]) if first else ("", [x[1:] for x in rest])
         first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first or rest else []
-
-    def encode_pieces(self, lacking: list[str]) -> dict[str, bytes]:
-        kept, fine, whole = self.kept, {}, []
-        cut = {x: [y for y in _FINE.split(x) if y] for x in lacking}
-        for y in {y for parts in cut.values() for y in parts}:
-            if y in kept:
-                fine[y] = kept[y]
-            elif (y[1:] if y[0] == " " else y).isalpha():
-                fine[y] = np.array([t.id for t in self.model.tokenize(y.encode().decode("latin-1").translate(self.letters))], np.uint16).tobytes()
+        return first, rest
+
+    def _model(self, word: str) -> bytes:
+        """Ids of a blank or none and letters, which are one piece of the pre-tokenization."""
+        blank, letters = word[:1] == " ", word.lstrip(" ")
+        plain = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.letters)
+        return array("H", [t.id for t in self.model.tokenize(self.letters[32] + plain if blank else plain)]).tobytes()
+
+    def encode_pieces(self, lacking: list) -> None:
+        """Puts pieces among those kept."""
+        kept, letters, whole = self.kept, self._model, set()
+        cut: dict = {}
+        for x in lacking:
+            body = x[:-1]
+            if x.__class__ is not str:
+                body = ""
+            elif x.isalpha():
+                kept[x] = letters(" " + x)
+                continue
+            if body.isalpha() and (mark := kept.get((x[-1],))) is not None and _FINE.search(x):
+                found = kept.get(body)
+                if found is None:
+                    found = kept[body] = letters(" " + body)
+                    self.fresh.add(body)
+                kept[x] = found + mark
             else:
-                whole.append(y)
-        for i in range(0, len(whole), 1000):
-            part = whole[i : i + 1000]
+                cut[x] = parts = []
+                for y in _FINE.split(" " + x if x.__class__ is str else x[0]):
+                    if not y:
+                        continue
+                    key = y[1:] if y[0] == " " else (y,)
+                    parts.append((y, key))
+                    if key in kept:
+                        continue
+                    if (key if key.__class__ is str else y).isalpha():
+                        kept[key] = letters(y)
+                        self.fresh.add(key)
+                    else:
+                        whole.add(y)
+        texts, own = list(whole), {}
+        for i in range(0, len(texts), 1000):
+            part = texts[i : i + 1000]
             for y, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                fine[y] = np.array(e.ids, np.uint16).tobytes()
-        if len(kept) + len(fine) <= KEPT:
-            kept.update(fine)
-        return {x: b"".join([fine[y] for y in parts]) for x, parts in cut.items()}
+                own[y] = array("H", e.ids).tobytes()
+        for x, parts in cut.items():
+            kept[x] = b"".join([own[y] if y in own else kept[key] for y, key in parts])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.pieces(x) for x in texts]
-        kept = self.kept
-        new = self.encode_pieces(list({x for p in cut for x in p if x not in kept}))
-        return [np.frombuffer(b"".join([kept[x] if x in kept else new[x] for x in p]), np.uint16) for p in cut]
+        """Ids of each text. Nothing here refers to itself, and passes of the collector over all kept pieces would cost a fifth of the time."""
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if was:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        cut, ends = [], []
+        for text in texts:
+            if self.added is not None and (marks := self.added.findall(text)):
+                for mark, between in zip([None, *marks], self.added.split(text), strict=True):
+                    if mark is not None:
+                        cut.append((mark, None))
+                    cut.append(self.pieces(between))
+            else:
+                cut.append(self.pieces(text))
+            ends.append(len(cut))
+        seen = {x for first, rest in cut if rest is not None for x in (rest if not first else [(first,), *rest])}
+        self.fresh -= seen
+        if len(self.fresh) > FRESH:
+            for x in self.fresh:
+                del self.kept[x]
+            self.fresh = set()
+        if len(self.kept) > FRESH + KEPT:
+            self.kept, self.fresh = {}, set()
+        lacking = seen.difference(self.kept)
+        self.fresh |= lacking
+        self.encode_pieces(list(lacking))
+        of = self.kept.__getitem__
+        number = lambda mark: np.uint16(self.tokenizer.token_to_id(mark)).tobytes()
+        made = [number(first) if rest is None else (of((first,)) if first else b"") + b"".join(map(of, rest)) for first, rest in cut]
+        return [np.frombuffer(b"".join(made[a:b]), np.uint16) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def encoder_of(path: str) -> Encoder:
@@ -171,7 +239,7 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, l
     def run(batches):
         encoder, writer = encoder_of(path), None
         for batch in batches:
-            for lo, hi, data, offsets in T.slices(batch.column(1)):
+            for lo, hi, data, offsets in T.slices(batch.column(1), 4 * T.SLICE):
                 if writer is None:
                     writer = _Writer(uri, TaskContext.get().partitionId(), length)
                 texts = [bytes(data[a:b]).decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]

@@ -22,6 +22,14 @@ def test_hashes_depend_on_the_word_only():
     starts, ends, first = texts.spans(data, offsets, texts.NOT_SPACE)
     h = texts.word_hashes(data, starts, ends)
     assert first.tolist() == [0, 2, 2, 2, 6] and h[0] == h[3] == h[5] and h[1] == h[4] and len(np.unique(h)) == 3
+    # Texts and words longer than a chunk: equal words have equal hashes wherever they stand, and workers keep chunks only.
+    long = "y" * (texts.CHUNK + 9)
+    data, offsets = texts.flat(pa.array([f"ab {'x ' * texts.CHUNK}{long} cd", f"{long} cd ab", long + "z", "x" * texts.CHUNK]))
+    starts, ends, _ = texts.spans(data, offsets, texts.NOT_SPACE)
+    g = texts.word_hashes(data, starts, ends)
+    n = texts.CHUNK + 3
+    assert g[0] == h[0] == g[n + 2] and g[n - 2] == g[n] and g[n - 1] == h[1] == g[n + 1] and (g[1 : n - 2] == g[1]).all()
+    assert len(np.unique(g)) == 6 and all(len(v) == texts.CHUNK + 1 for k, v in texts.worker_store().items() if k.startswith("power"))
 
 
 def test_licences_against_brute_force(spark):
