@@ -34,7 +34,7 @@ ENTRIES = 4096
 QUERIES = 1024
 LEVELS = 32
 #: So many possible members of a block are scored exactly without narrowing them down further.
-RESCORE = 64
+RESCORE = 512
 
 _NEVER = -(1 << 62)
 _BLOCK = "size int, x long, ids array<array<long>>, vecs binary, dims array<int>, lows array<int>, highs array<int>, ends array<int>, members array<int>"
