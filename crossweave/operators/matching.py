@@ -89,42 +89,47 @@ def similar_sets(
 ) -> DataFrame:
     """Pairs of rows whose sets have Jaccard similarity of at least ``threshold``.
 
-    Exact, without comparing all pairs: sets are ordered from the rarest element
-    to the most frequent one, and two sets that similar must share an element
-    among the first ``n - ceil(threshold * n) + 1`` of each. Only those prefixes
-    are joined, on the element, so frequent elements, which would join a large
-    part of the data, hardly ever take part. ``within`` names columns that must
-    be equal too.
+    Exact, without comparing all pairs: sets are ordered from the element rarest
+    in the left sets to the one most frequent there, and two sets that similar
+    must share an element among the first ``n - ceil(threshold * n) + 1`` of each.
+    Elements that no left set has come first and meet nothing, so a right set
+    only counts them. Right sets too large or small for any left one, or with too
+    few of the left sets' elements, are left out before anything is joined by
+    element; what stays of a right set is its share of those elements, which is all
+    an intersection needs. ``within`` names columns that must be equal too.
     """
     within = within or []
-    items = (
-        left.select(*within, F.explode(lset).alias("_e"))
-        .unionAll(right.select(*within, F.explode(rset).alias("_e")))
-        .groupBy(*within, "_e")
-        .agg(F.count(F.lit(1)).alias("_df"))
-    )
 
-    def prefixes(d: DataFrame, ids: list[str], col: str, side: str) -> DataFrame:
+    def sets(d: DataFrame, ids: list[str], col: str, side: str) -> DataFrame:
         named = [F.col(c).alias(f"{side}{c}") for c in ids]
-        one = d.select(*within, *named, F.explode(F.array_distinct(col)).alias("_e"))
-        keys = [*within, *[f"{side}{c}" for c in ids]]
-        ordered = one.join(items, [*within, "_e"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_df", "_e"))).alias("_o"))
-        n = F.size("_o")
-        take = n - F.ceil(F.lit(threshold) * n - 1e-9) + 1
-        # Prefix rows carry the set's size only; the sets meet again for the pairs found.
-        return ordered.select(*keys, n.alias(f"{side}n"), F.explode(F.slice("_o", F.lit(1), take.cast("int"))).alias("_x")).select(
-            *keys, f"{side}n", F.col("_x._e").alias("_e")
-        )
+        known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [*within, *ids]])
+        return d.filter(known).select(*within, *named, F.array_distinct(col).alias("_s"))
+
+    def need(n: Column) -> Column:
+        return F.ceil(F.lit(threshold) * n - 1e-9)
 
-    a, b = prefixes(left, lid, lset, "l_"), prefixes(right, rid, rset, "r_")
     lids, rids = [f"l_{c}" for c in lid], [f"r_{c}" for c in rid]
-    na, nb = F.col("l_n"), F.col("r_n")
-    alike = (na >= nb * threshold - 1e-9) & (nb >= na * threshold - 1e-9)
-    met = a.join(b, [*within, "_e"]).filter(alike).select(*within, *lids, *rids).distinct()
-    whole = lambda d, ids, col, side: d.select(*within, *[F.col(c).alias(f"{side}{c}") for c in ids], F.array_distinct(col).alias(f"{side}set"))
-    full = met.join(whole(left, lid, lset, "l_"), [*within, *lids]).join(whole(right, rid, rset, "r_"), [*within, *rids])
+    left_sets = stage(sets(left, lid, lset, "l_").withColumn("_k", F.monotonically_increasing_id()), "left_sets")
+    one = left_sets.select(*within, "_k", F.size("_s").alias("l_n"), F.explode("_s").alias("_e"))
+    items = stage(one.groupBy(*within, "_e").agg(F.count(F.lit(1)).alias("_df"), F.min("l_n").alias("_lo"), F.max("l_n").alias("_hi")), "left_items")
+    # Each right set becomes its elements that left sets have, rarest first, in one pass over the texts.
+    met = sets(right, rid, rset, "r_").withColumn("_row", F.monotonically_increasing_id())
+    met = met.select(*within, *rids, "_row", F.size("_s").alias("r_n"), F.explode("_s").alias("_e")).join(items, [*within, "_e"])
+    met = met.filter((F.col("_hi") >= F.col("r_n") * threshold - 1e-9) & (F.col("r_n") >= F.col("_lo") * threshold - 1e-9))
+    kept = met.groupBy(*within, *rids, "_row", "r_n").agg(F.array_sort(F.collect_list(F.struct("_df", "_e"))).alias("_o"))
+    kept = stage(kept.withColumn("_need", need(F.col("r_n"))).filter(F.size("_o") >= F.col("_need")), "right_sets")
+    first = lambda n: F.slice("_o", F.lit(1), n.cast("int"))
+    # Of the n - need + 1 first elements of a right set, those that left sets lack are gone already.
+    b = kept.select(*within, "_row", "r_n", F.explode(first(F.size("_o") - F.col("_need") + 1)).alias("_x")).select(*within, "_row", "r_n", F.col("_x._e").alias("_e"))
+    ordered = one.join(items.select(*within, "_e", "_df"), [*within, "_e"]).groupBy(*within, "_k", "l_n").agg(F.array_sort(F.collect_list(F.struct("_df", "_e"))).alias("_o"))
+    a = ordered.select(*within, "_k", "l_n", F.explode(first(F.col("l_n") - need(F.col("l_n")) + 1)).alias("_x")).select(*within, "_k", "l_n", F.col("_x._e").alias("_e"))
+    alike = (F.col("l_n") >= F.col("r_n") * threshold - 1e-9) & (F.col("r_n") >= F.col("l_n") * threshold - 1e-9)
+    pairs = a.join(b, [*within, "_e"]).filter(alike).select("_k", "_row").distinct()
+    full = pairs.join(left_sets.select("_k", *lids, F.col("_s").alias("l_set")), "_k").join(
+        kept.select(*within, "_row", *rids, "r_n", F.transform("_o", lambda x: x["_e"]).alias("r_set")), "_row"
+    )
     shared = F.size(F.array_intersect("l_set", "r_set"))
-    score = shared / (F.size("l_set") + F.size("r_set") - shared)
+    score = shared / (F.size("l_set") + F.col("r_n") - shared)
     return full.select(*within, *lids, *rids, score.alias("jaccard")).filter(F.col("jaccard") >= threshold - 1e-9)
 
 
