@@ -56,3 +56,19 @@ def test_similar_sets_of_rows_that_share_an_id(spark, threshold):
     a, b = spark.createDataFrame(left, "i int, s array<string>"), spark.createDataFrame(right, "j int, s array<string>")
     found = matching.similar_sets(a, b, ["i"], ["j"], "s", "s", threshold)
     assert sorted((r.l_i, r.r_j, r.j) for r in found.select("l_i", "r_j", F.round("jaccard", 6).alias("j")).collect()) == want
+
+
+def test_plan_of_inlined_helpers_stays_small(report, monkeypatch):
+    """Every test of the helpers once doubled the plan of what came before it."""
+    from crossweave.operators import structure
+
+    joins, whole = {}, structure.stage
+
+    def staged(df, label):
+        joins[label] = max(joins.get(label, 0), df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return whole(df, label)
+
+    monkeypatch.setattr(structure, "stage", staged)
+    ctx = report.pairs.withColumn("r_ids", F.array().cast("array<string>"))
+    structure.structure_checks(ctx, report.rows, report.inputs)
+    assert max(joins.values()) < 30
