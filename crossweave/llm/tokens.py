@@ -20,6 +20,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,9 +34,12 @@ END = 2
 BATCH = 512
 KEPT = 200_000
 FRESH = 100_000
+#: Short pieces between letters (marks, line ends, digits) whose ids a worker keeps.
+MARKS, MARK = 10_000, 8
 
 _PAIR = re.compile(r"\s ")
 _CUT = re.compile(r"(?<!\s)(?= )")
+_ENDED = re.compile(r"([^\W\d_]+)([^\w\s'’].*|[ \t-\r].*)", re.S)
 _FINE = re.compile(r"(?<=[^\W\d_])(?=[^\w\s'’])|(?<=\S)(?=[ \t-\r])|(?<=\S\n)(?=\S)")
 
 
@@ -68,59 +72,67 @@ class Encoder:
         self.added = re.compile("|".join(re.escape(t.content) for t in added)) if added else None
         self.kept: dict = {}
         self.fresh: set = set()
+        self.marks: dict = {}
 
-    def pieces(self, text: str) -> tuple[str, list[str]]:
-        """The first piece, and the others without their leading blanks."""
-        if _PAIR.search(text):
+    def pieces(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """All pieces one after another without their leading blanks, and where each text's begin; its first has none."""
+        def apart(text: str) -> list[str]:
             first, *rest = _CUT.split(text)
-            return (first, [x[1:] for x in rest]) if first else ("", [x[1:] for x in rest])
-        first, *rest = text.split(" ")
-        return first, rest
+            return [first, *(x[1:] for x in rest)]
 
-    def _model(self, word: str) -> bytes:
-        """Ids of a blank or none and letters, which are one piece of the pre-tokenization."""
-        blank, letters = word[:1] == " ", word.lstrip(" ")
+        plain = [not _PAIR.search(x) for x in texts]
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        if not all(plain):
+            others = [None if p else apart(x) for p, x in zip(plain, texts, strict=True)]
+            lists = pc.if_else(pa.array(plain), lists, pa.array(others, lists.type))
+        return lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+
+    def _model(self, letters: str, blank: bool) -> bytes:
+        """Ids of letters, with or without a blank before them; they are one piece of the pre-tokenization."""
         plain = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.letters)
         return array("H", [t.id for t in self.model.tokenize(self.letters[32] + plain if blank else plain)]).tobytes()
 
     def encode_pieces(self, lacking: list) -> None:
         """Puts pieces among those kept."""
-        kept, letters, whole = self.kept, self._model, set()
+        kept, marks, letters, ended, whole = self.kept, self.marks, self._model, _ENDED.fullmatch, set()
         cut: dict = {}
         for x in lacking:
-            body = x[:-1]
-            if x.__class__ is not str:
-                body = ""
-            elif x.isalpha():
-                kept[x] = letters(" " + x)
-                continue
-            if body.isalpha() and (mark := kept.get((x[-1],))) is not None and _FINE.search(x):
-                found = kept.get(body)
-                if found is None:
-                    found = kept[body] = letters(" " + body)
-                    self.fresh.add(body)
-                kept[x] = found + mark
-            else:
-                cut[x] = parts = []
-                for y in _FINE.split(" " + x if x.__class__ is str else x[0]):
-                    if not y:
-                        continue
-                    key = y[1:] if y[0] == " " else (y,)
-                    parts.append((y, key))
-                    if key in kept:
-                        continue
-                    if (key if key.__class__ is str else y).isalpha():
-                        kept[key] = letters(y)
-                        self.fresh.add(key)
-                    else:
-                        whole.add(y)
+            if x.__class__ is str:
+                if x.isalpha():
+                    if x not in kept:  # as another's letters
+                        kept[x] = letters(x, True)
+                    continue
+                if (parted := ended(x)) and (mark := marks.get(parted[2])) is not None and parted[1].isalpha():
+                    body = parted[1]
+                    found = kept.get(body)
+                    if found is None:
+                        found = kept[body] = letters(body, True)
+                        self.fresh.add(body)
+                    kept[x] = found + mark
+                    continue
+            cut[x] = parts = []
+            for y in _FINE.split(" " + x if x.__class__ is str else x[0]):
+                if not y:
+                    continue
+                blank = y[0] == " "
+                key = y[1:] if blank else (y,)
+                parts.append((y, key))
+                if y in marks or key in kept:
+                    continue
+                if (key if blank else y).isalpha():
+                    kept[key] = letters(key if blank else y, blank)
+                    self.fresh.add(key)
+                else:
+                    whole.add(y)
         texts, own = list(whole), {}
         for i in range(0, len(texts), 1000):
             part = texts[i : i + 1000]
             for y, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 own[y] = array("H", e.ids).tobytes()
         for x, parts in cut.items():
-            kept[x] = b"".join([own[y] if y in own else kept[key] for y, key in parts])
+            kept[x] = b"".join([marks[y] if y in marks else own[y] if y in own else kept[key] for y, key in parts])
+        if len(marks) < MARKS:
+            marks.update((y, e) for y, e in own.items() if len(y) <= MARK)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Nothing here refers to itself, and passes of the collector over all kept pieces would cost a fifth of the time."""
@@ -138,26 +150,46 @@ class Encoder:
             if self.added is not None and (marks := self.added.findall(text)):
                 for mark, between in zip([None, *marks], self.added.split(text), strict=True):
                     if mark is not None:
-                        cut.append((mark, None))
-                    cut.append(self.pieces(between))
+                        cut.append((mark, True))
+                    cut.append((between, False))
             else:
-                cut.append(self.pieces(text))
+                cut.append((text, False))
             ends.append(len(cut))
-        seen = {x for first, rest in cut if rest is not None for x in (rest if not first else [(first,), *rest])}
-        self.fresh -= seen
+        ids = iter(self._between([x for x, mark in cut if not mark]))
+        number = lambda mark: np.array([self.tokenizer.token_to_id(mark)], np.uint16)
+        made = [number(x) if mark else next(ids) for x, mark in cut]
+        return [made[a] if b == a + 1 else np.concatenate(made[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _between(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts without added tokens. Arrow numbers their pieces, so that each unlike piece is looked up once."""
+        if not texts:
+            return []
+        flat, starts = self.pieces(texts)
+        coded = flat.dictionary_encode()
+        at, used = coded.indices.to_numpy().copy(), np.zeros(len(coded.dictionary), bool)
+        firsts = flat.take(pa.array(starts[:-1])).to_numpy(zero_copy_only=False).tolist()
+        at[starts[:-1]] = -1
+        used[at[at >= 0]] = True
+        words = coded.dictionary.filter(pa.array(used)).to_numpy(zero_copy_only=False).tolist()
+        at[at >= 0] = (np.cumsum(used) - 1)[at[at >= 0]]
+        at[starts[:-1]] = np.arange(len(words), len(words) + len(firsts))
+        keys = [*words, *((x,) for x in firsts)]
+        self.fresh.difference_update(keys)
         if len(self.fresh) > FRESH:
             for x in self.fresh:
                 del self.kept[x]
             self.fresh = set()
         if len(self.kept) > FRESH + KEPT:
             self.kept, self.fresh = {}, set()
-        lacking = seen.difference(self.kept)
-        self.fresh |= lacking
+        made = list(map(self.kept.get, keys))
+        lacking = {x: None for x, ids in zip(keys, made, strict=True) if ids is None}
+        self.fresh.update(lacking)
         self.encode_pieces(list(lacking))
-        of = self.kept.__getitem__
-        number = lambda mark: np.uint16(self.tokenizer.token_to_id(mark)).tobytes()
-        made = [number(first) if rest is None else (of((first,)) if first else b"") + b"".join(map(of, rest)) for first, rest in cut]
-        return [np.frombuffer(b"".join(made[a:b]), np.uint16) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        made = [self.kept[x] if ids is None else ids for x, ids in zip(keys, made, strict=True)]
+        taken = pa.array(made, pa.large_binary()).take(pa.array(at))
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] // 2
+        ids = np.frombuffer(taken.buffers()[2], np.uint16)
+        return [ids[a:b] for a, b in zip(ends[starts[:-1]].tolist(), ends[starts[1:]].tolist(), strict=True)]
 
 
 def encoder_of(path: str) -> Encoder:

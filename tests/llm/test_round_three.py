@@ -212,3 +212,33 @@ def test_processing_stops_on_proof_only(monkeypatch):
         want = sorted(((int(s), -i) for i, s in enumerate(v @ v[own]) if i != own), reverse=True)[:10]
         assert sorted(zip(score.tolist(), (-at).tolist(), strict=True), reverse=True)[:10] == want
         assert scored[-1] <= impact_index.RESCORE  # so many entries only are scored in the end
+
+
+def test_op8_marks_after_letters_are_encoded_once_and_texts_as_by_the_plain_call():
+    import random
+
+    from tokenizers import Tokenizer
+
+    from crossweave.llm import tokens
+
+    plain, encoder = Tokenizer.from_file(tokens.default_path()), tokens.Encoder(tokens.default_path())
+    encoder.encode(["one, two. three"])
+    calls, tokenizer = [], encoder.tokenizer
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(tokenizer, name)
+
+        def encode_batch_fast(self, texts, **options):
+            calls.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Counted()
+    encoder.encode(["unseenword, otherword. lastword,"])
+    assert calls == []  # letters go to the model, marks are known
+    dice = random.Random(8)
+    parts = ["a", "Wort", "é", "x²", "½", "é", "’s", "'s", "don't", "_", "9", ",", ".", "$$$", "\n", "\r\n", "\t", " ", "  ", " ", "　", "\x00", "\x1c", "日本", "😀", "<|endoftext|>", "ⅷ", "ª"]
+    for _ in range(40):
+        texts = ["".join(dice.choice(parts) for _ in range(dice.randrange(30))) for _ in range(60)]
+        got = [x.tolist() for x in encoder.encode(texts)]
+        assert got == [plain.encode(x, add_special_tokens=False).ids for x in texts]
