@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from crossweave.operators import matching
+from crossweave.operators import lints, matching
 from crossweave.plans import table_queries
 from crossweave.plans.registry import Tables
 from crossweave.sources.patch import versions_of_patches
@@ -72,3 +72,16 @@ def test_plan_of_inlined_helpers_stays_small(report, monkeypatch):
     ctx = report.pairs.withColumn("r_ids", F.array().cast("array<string>"))
     structure.structure_checks(ctx, report.rows, report.inputs)
     assert max(joins.values()) < 30
+
+
+def test_lints_cut_texts_into_lines_once(spark, monkeypatch):
+    cut, got = [], []
+    empty = spark.createDataFrame([], "change_id string, kind string")
+    monkeypatch.setattr(lints, "rust_lines", lambda inp: cut.append(inp) or spark.createDataFrame([("c", 0, "x.rs", 1, "// a", True)], "change_id string, file_ix int, path string, line int, raw string, touched boolean"))
+    for rule in ("provenance_comments", "undocumented_unsafe", "invented_lifetimes", "mangled_symbols"):
+        monkeypatch.setattr(lints, rule, lambda inp, lines: got.append(lines) or empty)
+    for rule in ("extern_signatures", "shim_logic", "dense_unsafe"):
+        monkeypatch.setattr(lints, rule, lambda inp: empty)
+    assert lints.all_lints("inputs").count() == 0
+    assert cut == ["inputs"] and len(got) == 4 and all(lines is got[0] for lines in got)
+    assert len(got[0].inputFiles()) >= 1 and [r.raw for r in got[0].collect()] == ["// a"]  # written, not cut again by each reader
