@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossweave.llm import decontaminate, mixing, quality, shingle_join, tokens
+from crossweave.llm import decontaminate, mixing, quality, shingle_join, texts, tokens
 from crossweave.session import scratch_dir, stage
 
 
@@ -22,7 +22,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it learns from the labels of the documents at hand. Null ids are kept: they have no decision."""
     made = quality.score(docs, quality.learn(docs, _table(spark, sf_dir, "labels")))
-    low = stage(made.filter(F.col("score") < quality.ACCEPT).select(F.col("doc_id").alias("_low")).distinct(), "low-quality")
+    with texts.small_batches(spark):
+        low = stage(made.filter(F.col("score") < quality.ACCEPT).select(F.col("doc_id").alias("_low")).distinct(), "low-quality")
     return docs.join(low, F.col("doc_id") == F.col("_low"), "left_anti")
 
 

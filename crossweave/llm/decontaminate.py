@@ -194,7 +194,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for part in range(parts):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
         rows = [(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()]  # about ITEMS
-        used = docs.sparkSession.createDataFrame([(w,) for w in sorted({w.decode("utf-8", "replace") for _, t in rows for w in words_of(t)})], "term string")
+        terms = sorted({w.decode("utf-8", "replace") for _, t in rows for w in words_of(t)})
+        used = docs.sparkSession.createDataFrame(pa.table({"term": pa.array(terms, pa.string())}))  # as Arrow: rows would start other workers
         counts = {r["term"].encode(): r["df"] for r in df.join(used, "term").collect()}
         index = Index(rows, n, mean, counts)
 
@@ -206,12 +207,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     rest = [pa.array([r[i] for r in found], kind) for i, kind in ((1, pa.int64()), (2, pa.float64()), (3, pa.float64()), (4, pa.float64()))]
                     yield pa.record_batch([ids, *rest], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        one = docs.mapInArrow(run, SCHEMA)
+        one = T.over_batches(docs, run, SCHEMA)
         made = one if made is None else made.union(one)
     return made
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without those that hold a test item."""
-    held = stage(contaminated(docs, benchmark).select(F.col("doc_id").alias("_held")).distinct(), "held")
+    with T.small_batches(docs.sparkSession):
+        held = stage(contaminated(docs, benchmark).select(F.col("doc_id").alias("_held")).distinct(), "held")
     return docs.join(held, F.col("doc_id") == F.col("_held"), "left_anti")

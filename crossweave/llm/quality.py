@@ -155,7 +155,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                     pa.array([x[at[i] : at[i + 1]].tobytes() for i in keep], pa.binary()),
                 ], names=["doc_id", "y", "x"])
 
-    found = rows.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x binary").toPandas().sort_values(["doc_id", "x"])
+    with T.small_batches(docs.sparkSession):
+        found = T.over_batches(rows.select("doc_id", "y", "text"), run, "doc_id long, y int, x binary").toPandas().sort_values(["doc_id", "x"])
     bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in found["x"]]
     at = np.concatenate([[0], np.cumsum([len(b) for b in bags])]).astype(np.int64)
     return fit(np.concatenate(bags) if bags else np.zeros((0, FEATURES), np.float32), at, found["y"].to_numpy(np.float64))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 
 from ..session import scratch_dir
+from . import texts as T
 
 
 class Scratch:
@@ -22,7 +23,8 @@ class Scratch:
     def stage(self, df: DataFrame, label: str) -> DataFrame:
         spark = df.sparkSession
         path = f"{scratch_dir(spark)}/crossweave/{label}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        with T.small_batches(spark):
+            df.write.parquet(path)
         made = spark.read.schema(df.schema).parquet(path)
         self.paths[id(made)] = (made, path)
         return made

@@ -137,7 +137,7 @@ def classes(docs: DataFrame, rule: Rule, scratch: Scratch) -> Classes:
         held = np.flatnonzero(words)
         yield pa.record_batch([pa.array(np.ones(len(held), bool)), pa.array(held), pa.array(words[held])], names=["word", "token", "n"])
 
-    found = scratch.stage(docs.select("text").mapInArrow(run, "word boolean, token long, n long").groupBy("word", "token").agg(F.sum("n").alias("n")), "shingle-classes")
+    found = scratch.stage(T.over_batches(docs.select("text"), run, "word boolean, token long, n long").groupBy("word", "token").agg(F.sum("n").alias("n")), "shingle-classes")
     most = found.filter((F.col("n") >= FREQUENT) & ~F.col("word")).orderBy(F.desc("n"), "token").limit(CLASS_MOST).select("token").toPandas()["token"].to_numpy(np.int64)
     bits = np.zeros(CLASS_BITS, bool)
     bits[(most.view(np.uint64) & np.uint64(CLASS_BITS - 1)).astype(np.int64)] = True
@@ -230,7 +230,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rule: Rule, scratch: Scratch) ->
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(made).view(np.int64)))
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), lists], names=["id", "tokens"])
 
-    sets = near.filter("doc_id is not null").mapInArrow(wanted, schema)
+    sets = T.over_batches(near.filter("doc_id is not null"), wanted, schema)
     met = asked.join(sets, "id").repartition("a", "part").sortWithinPartitions("a", "part", F.col("id") != F.col("a"))
 
     def compare(batches):
@@ -250,7 +250,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rule: Rule, scratch: Scratch) ->
                         out.append((int(a[i]), int(ids[i])))
             yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    return met.select("a", "part", "id", "tokens").mapInArrow(compare, "a long, b long").distinct()
+    return T.over_batches(met.select("a", "part", "id", "tokens"), compare, "a long, b long").distinct()
 
 
 def possible(rule: Rule) -> Column:
@@ -329,7 +329,7 @@ def block_pairs(members: DataFrame, rule: Rule) -> DataFrame:
         if held:
             yield done()
 
-    return dealt.select("key", "p", "q", "block", "id", "component", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
+    return T.over_batches(dealt.select("key", "p", "q", "block", "id", "component", "n", "sketch"), run, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, rule: Rule, count: bool = True) -> DataFrame:

@@ -6,18 +6,22 @@ them as start and end positions. A slice holds about ``SLICE`` bytes, or one tex
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE = 1 << 20
 CHUNK = 1 << 18
+#: Bytes of the Arrow batches that steps over whole texts are run with.
+HANDED = 8 * SLICE
 SPACES = b" \t\n\x0b\x0c\r"
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -79,6 +83,41 @@ def worker_store() -> dict:
     return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """For what is run inside, Spark hands texts to Python in batches of ``HANDED`` bytes at most, or of one row that is longer.
+
+    A batch is held by the JVM, outside its heap, and by the worker at once; by Spark's own limit of rows it is as long as its texts.
+    A smaller setting of the session stays, and its setting is restored.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    spark.conf.set(name, str(min(now, HANDED) if now > 0 else HANDED))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
+def release() -> None:
+    """Gives memory that a worker has freed back to the system; idle workers would else hold it beside what runs next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
+def over_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` whose workers give back what they have freed when a task ends."""
+
+    def returned(batches):
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(returned, schema)
+
+
 def _power(base: int, n: int) -> np.ndarray:
     """The first n powers of a base, ``CHUNK`` + 1 at most."""
     store = worker_store()
@@ -138,4 +177,4 @@ def per_text(docs: DataFrame, columns: list[str], schema: str, work: Callable) -
                 made = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in step(data, offsets)]
                 yield pa.RecordBatch.from_arrays(own + made, names=names)
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return over_batches(docs.select(*columns), run, schema)

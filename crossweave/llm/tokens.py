@@ -200,6 +200,13 @@ def encoder_of(path: str) -> Encoder:
     return store[f"encoder {path}"]
 
 
+def drop_encoders() -> None:
+    """When files are read, the encoders that wrote them are over; later steps share the memory with this worker."""
+    store = T.worker_store()
+    for name in [x for x in store if x.startswith("encoder ")]:
+        del store[name]
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -282,8 +289,9 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, l
             yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([writer.docs], pa.int64()), pa.array([writer.total], pa.int64())], names=["part", "docs", "ids"])
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    made = ordered.mapInArrow(run, "part long, docs long, ids long").collect()  # one row a file
-    return uri, spark.createDataFrame(made, "part long, docs long, ids long")
+    with T.small_batches(spark):
+        made = T.over_batches(ordered, run, "part long, docs long, ids long").toArrow()  # one row a file
+    return uri, spark.createDataFrame(made)  # as Arrow: rows would start other workers
 
 
 def sequences(file, length: int = LENGTH):
@@ -298,6 +306,7 @@ def read(folder: str, files: DataFrame) -> DataFrame:
     def run(batches):
         from pyarrow import fs
 
+        drop_encoders()
         where, base = fs.FileSystem.from_uri(folder)
         local = isinstance(where, fs.LocalFileSystem)
 
@@ -321,7 +330,7 @@ def read(folder: str, files: DataFrame) -> DataFrame:
                         held, start = ids[need:], start + need
 
     at = files.select("part", before.alias("start")).repartition(max(1, files.count()), "part")
-    return at.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return T.over_batches(at, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
