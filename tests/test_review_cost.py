@@ -1,13 +1,15 @@
 """What a review costs: names read once, files scanned few at a time, rows written seldom."""
 
+import threading
 import time
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from crossweave import session
 from crossweave.functions import idents, text
-from crossweave.operators import scan, units
+from crossweave.operators import checks, scan, units
 
 
 def test_long_names_are_read_in_linear_time(spark):
@@ -40,3 +42,30 @@ def test_files_of_a_batch_are_scanned_few_at_a_time():
     files = pa.Table.from_batches(out).to_pylist()
     assert files[0]["pieces"][1] == {"fn": 0, "seq": 1, "piece": "stmt", "start_line": 2, "end_line": 2, "depth": 0, "tail": False, "text": "return a;"}
     assert files[0]["functions"][0]["unsafe_at"] == [] and files[-1]["functions"] == [] == files[-1]["pieces"]
+
+
+def test_rows_of_pairs_are_written_seldom(report, monkeypatch):
+    """Rows hold both units; every rule once wrote them anew."""
+    wide, whole = [], checks.stage
+
+    def staged(df, label):
+        if {"cu", "ru"} <= set(df.columns):
+            wide.append(label)
+        return whole(df, label)
+
+    monkeypatch.setattr(checks, "stage", staged)
+    pairs = report.pairs.filter("origin = 'changed'").select("change_id", "c_fid", "r_fid", "link", "why", "shim", "forwarder", "duplicate_of", "origin", "rust_untouched")
+    _, rows = checks.checked_rows(pairs, report.inputs.cpp, report.inputs.universe, report.inputs)
+    assert len(wide) <= 3
+    assert not set(checks.ROW_ONLY) & set(rows.columns)
+    key = [*checks.PAIR, "row_ix", "at_side"]
+    assert sorted(map(tuple, rows.select(*key).collect())) == sorted(map(tuple, report.rows.join(pairs.select("change_id", F.concat_ws(">", "c_fid", "r_fid").alias("pair_id")), checks.PAIR, "left_semi").select(*key).collect()))
+
+
+def test_work_beside_a_block_runs_while_the_block_does():
+    met = threading.Barrier(2, timeout=20)
+    with session.beside(lambda: met.wait() + 1) as work:
+        met.wait()
+    assert work.result() in (1, 2)
+    with pytest.raises(ZeroDivisionError), session.beside(lambda: 1 // 0) as work:
+        work.result()
