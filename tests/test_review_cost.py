@@ -62,10 +62,39 @@ def test_rows_of_pairs_are_written_seldom(report, monkeypatch):
     assert sorted(map(tuple, rows.select(*key).collect())) == sorted(map(tuple, report.rows.join(pairs.select("change_id", F.concat_ws(">", "c_fid", "r_fid").alias("pair_id")), checks.PAIR, "left_semi").select(*key).collect()))
 
 
-def test_work_beside_a_block_runs_while_the_block_does():
+def test_work_beside_a_block_runs_while_the_block_does(spark):
     met = threading.Barrier(2, timeout=20)
-    with session.beside(lambda: met.wait() + 1) as work:
+    with session.beside(spark, lambda: met.wait() + 1) as work:
         met.wait()
     assert work.result() in (1, 2)
-    with pytest.raises(ZeroDivisionError), session.beside(lambda: 1 // 0) as work:
+    with pytest.raises(ZeroDivisionError), session.beside(spark, lambda: 1 // 0) as work:
         work.result()
+
+
+def test_tests_of_conditions_are_compared_once(spark):
+    """Every note on conditions once compared all conjuncts of both sides anew."""
+    notes = checks._conditions(F.col("cu"), F.col("ru"), F.col("_tests"))
+    assert len(notes) == 3 and not any("jaccard" in str(n) or "==|!=" in str(n) for n in notes)
+    test = "array<struct<text:string,names:array<string>>>"
+    unit = f"struct<kind:string,checks_error:boolean,conjuncts:{test}>"
+    amount, closed, less = ("a > LIMIT", ["a", "limit"]), ("!closed", ["closed"]), ("a <= kLimit", ["a", "limit"])
+    branch = lambda *tests, kind="if", checks=False: (kind, checks, list(tests))
+    rows = [
+        (0, branch(amount), branch(amount, closed), [amount], [amount, closed]), (1, branch(amount), branch(less), [amount], [less]),
+        (2, branch(amount, checks=True), branch(closed), [], []), (3, branch(kind="stmt"), branch(closed), [], []), (4, None, branch(closed), None, []),
+        (5, branch(("x", [])), branch(closed), [], []),
+    ]
+    x = spark.createDataFrame(rows, f"k int, cu {unit}, ru {unit}, near_c {test}, near_r {test}").withColumn("_tests", checks._lost_tests(F.col("cu"), F.col("ru")))
+    got = {r.k: (r.lost and tuple(r.lost), [n and n.code for n in r.notes]) for r in x.select("k", F.col("_tests").alias("lost"), F.array(*notes).alias("notes")).collect()}
+    none = (None, [None] * 3)
+    assert got == {0: (([], ["!closed"]), [None, "test-added", None]), 1: ((["a > LIMIT"], ["a <= kLimit"]), ["condition", None, None]), 2: none, 3: none, 4: none, 5: none}
+
+
+def test_types_are_only_looked_for_in_bindings(spark):
+    """The pattern looks back from every position of a text; errors are named with a prefix."""
+    assert spark.createDataFrame([("foo(ZX_ERR_NO_MEMORY, Status::BAD)",), ("x.ok()",), (None,)], "t string").select(text.error_codes(F.col("t")).alias("e")).collect() == [(["NO_MEMORY", "BAD"],), ([],), (None,)]
+    schema = "change_id string, side string, file_ix int, lang string, fn int, seq int, kind string, text string, comment array<string>, safety boolean"
+    texts = ["call(first: T, second = 3);", "let total: Vec<Item> = make();", "let mut (aa, bb): Pair = both();"]
+    features = units._features(spark.createDataFrame([("c", "rust_new", 0, "rust", 0, k, "stmt", t, [], False) for k, t in enumerate(texts)], schema))
+    assert "StartsWith(" in features._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.names for r in features.orderBy("seq").select("names").collect()] == [["call", "first", "second"], ["make", "total"], ["aa", "bb", "both", "pair"]]
